@@ -32,17 +32,13 @@ def hourly(spark, sf_dir) -> DataFrame:
 
 def gridded(spark, sf_dir) -> DataFrame:
     """Hourly frame on its full grid with gaps of every length class; `i` is the hour index."""
-    raw = keyed(spark, sf_dir)
+    raw = keyed(spark, sf_dir).select("k", "ts", "v")
     bounds = time_bounds(raw, keys=["k"], ts="ts", step="1h")
-    times = grid(bounds, keys=["k"], ts="ts", step="1h")
-    full = on_grid(raw.select("k", "ts", "v"), {"v": F.avg("v")}, keys=["k"], ts="ts", step="1h", times=times)
-    return _with_gaps(full.join(bounds.select("k", "lo"), "k"), "v").select("k", "ts", "i", "v")
-
-
-def _with_gaps(df: DataFrame, col: str) -> DataFrame:
-    i = F.expr("CAST((unix_micros(ts) - unix_micros(lo)) / 3600000000 AS BIGINT)")
+    times = grid(bounds, keys=["k"], ts="ts", step="1h", index="i")
+    full = on_grid(raw, {"v": F.avg("v"), "i": F.max("i")}, keys=["k"], ts="ts", step="1h", times=times)
+    i = F.col("i")
     gap = (i % 24).isin(5, 6) | (i % 100).between(40, 46) | i.between(300, 315)
-    return df.withColumn("i", i).withColumn(col, F.when(~gap, F.col(col)))
+    return full.select("k", "ts", "i", F.when(~gap, F.col("v")).alias("v"))
 
 
 def feed(spark, sf_dir, kind: str) -> DataFrame:

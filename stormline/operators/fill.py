@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import (
@@ -32,16 +32,23 @@ def carry(
     ts: str,
     forward: dict[str, str] | None = None,
     backward: dict[str, str] | None = None,
+    series: dict[str, tuple[str, str]] | None = None,
     chunk: Span = "30d",
     order: Sequence[str] = (),
 ) -> DataFrame:
-    """Last non-null value so far (`forward`) and next non-null value (`backward`), new name -> column."""
-    forward, backward = forward or {}, backward or {}
+    """Last non-null value so far (`forward`) and next non-null value (`backward`), new name -> column.
+
+    `series` adds figures of the whole series, new name -> (column, "min" | "max" | "sum"); they ride
+    on the same context rows, so no join back by series is needed.
+    """
+    forward, backward, series = forward or {}, backward or {}, series or {}
+    merge = {"min": F.min, "max": F.max, "sum": F.sum}
     rows = with_chunk(df, ts, chunk)
     rank = F.struct(US, *order)
     known = {**{f"_f_{n}": (c, F.max_by) for n, c in forward.items()}, **{f"_b_{n}": (c, F.min_by) for n, c in backward.items()}}
     per_chunk = rows.groupBy(*keys, CHUNK).agg(
-        *[pick(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(n) for n, (c, pick) in known.items()]
+        *[pick(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(n) for n, (c, pick) in known.items()],
+        *[merge[kind](c).alias(f"_s_{n}") for n, (c, kind) in series.items()],
     )
     ahead, behind = before(over_chunks(keys)), before(over_chunks(keys, reverse=True))
     context = per_chunk.select(
@@ -49,6 +56,7 @@ def carry(
         CHUNK,
         *[F.last(f"_f_{n}", ignorenulls=True).over(ahead).alias(f"_f_{n}") for n in forward],
         *[F.last(f"_b_{n}", ignorenulls=True).over(behind).alias(f"_b_{n}") for n in backward],
+        *[merge[kind](f"_s_{n}").over(Window.partitionBy(*keys)).alias(f"_s_{n}") for n, (_, kind) in series.items()],
     )
     up = upto(chunk_window(keys, US, *order))
     down = upto(chunk_window(keys, US, *order, reverse=True))
@@ -62,6 +70,7 @@ def carry(
             n: F.last(F.coalesce(F.when(~F.col(HALO), F.col(c)), F.col(f"_b_{n}")), ignorenulls=True).over(down)
             for n, c in backward.items()
         },
+        **{n: F.first(f"_s_{n}", ignorenulls=True).over(up) for n in series},
     }
     # helper names keep a column usable as its own target while others still read it
     staged = joined.select("*", *[v.alias(f"_to_{n}") for n, v in filled.items()])

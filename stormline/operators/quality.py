@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import POS, Span, micros, positions, span_us
+from .fill import carry
+
 
 def clean_doubles(df: DataFrame) -> DataFrame:
     """NaN and infinities are missing, so they become NULL (Spark would rank NaN above all values)."""
@@ -120,46 +123,42 @@ def require_splits(df: DataFrame, windows: Windows) -> None:
         raise ValueError(f"empty split: {', '.join(sorted(empty))}")
 
 
-def impute_gap_rule(df: DataFrame, cols: Sequence[str], *, keys: Sequence[str], ts: str, small: int = 3, step: str | None = None, chunk="30d") -> DataFrame:
+def impute_gap_rule(
+    df: DataFrame,
+    cols: Sequence[str],
+    *,
+    keys: Sequence[str],
+    ts: str,
+    small: int = 3,
+    step: Span | None = None,
+    chunk: Span = "30d",
+) -> DataFrame:
     """Gaps of at most `small` rows are interpolated in time; longer ones become 0.0 with a flag of 1.
 
     A short gap at either end of the series holds the nearest value.  Each column is judged on its own.
     """
-    from .chunks import POS, micros, positions, span_us
-    from .fill import carry
-
-    rows = (
-        df.withColumn(POS, F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) div {span_us(step)}"))
-        if step
-        else positions(df, keys=keys, ts=ts, chunk=chunk)
-    )
+    at = f"unix_micros(CAST({ts} AS TIMESTAMP)) div {span_us(step)}" if step else None
+    rows = df.withColumn(POS, F.expr(at)) if at else positions(df, keys=keys, ts=ts, chunk=chunk)
     us = micros(ts)
     for c in cols:
-        rows = rows.withColumn(f"_k_{c}", F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), us.alias("u"), F.col(POS).alias("p"))))
-    rows = rows.withColumn("_first", F.col(POS))
+        known = F.struct(F.col(c).alias("v"), us.alias("u"), F.col(POS).alias("p"))
+        rows = rows.withColumn(f"_k_{c}", F.when(F.col(c).isNotNull(), known))
     rows = carry(
         rows,
         keys=keys,
         ts=ts,
         forward={f"_p_{c}": f"_k_{c}" for c in cols},
         backward={f"_n_{c}": f"_k_{c}" for c in cols},
+        series={"_lo": (POS, "min"), "_hi": (POS, "max")},
         chunk=chunk,
     )
-    ends = df.groupBy(*keys).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi")) if step else None
-    if ends is not None:
-        size = span_us(step)
-        lo, hi = F.expr(f"_lo div {size}"), F.expr(f"_hi div {size}")
-    else:
-        ends = rows.groupBy(*keys).agg(F.min(POS).alias("_lo"), F.max(POS).alias("_hi"))
-        lo, hi = F.col("_lo"), F.col("_hi")
-    rows = rows.join(ends, list(keys)) if keys else rows.crossJoin(F.broadcast(ends))
-    out = {}
+    repaired, flags = {}, {}
     for c in cols:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        run = F.coalesce(n["p"], hi + 1) - F.coalesce(p["p"], lo - 1) - 1
+        run = F.coalesce(n["p"], F.col("_hi") + 1) - F.coalesce(p["p"], F.col("_lo") - 1) - 1
         line = p["v"] + (n["v"] - p["v"]) / (n["u"] - p["u"]) * (us - p["u"])
         near = F.coalesce(F.when(p.isNotNull() & n.isNotNull(), line), p["v"], n["v"])
         filled = F.when(run <= small, near)
-        out[c] = F.coalesce(F.col(c), filled, F.lit(0.0)).alias(c)
-        out[f"{c}_missing_flag"] = (F.col(c).isNull() & (filled.isNull())).cast("int").alias(f"{c}_missing_flag")
-    return rows.select(*[out.pop(c) if c in cols else F.col(c) for c in df.columns], *out.values())
+        repaired[c] = F.coalesce(F.col(c), filled, F.lit(0.0)).alias(c)
+        flags[c] = (F.col(c).isNull() & filled.isNull()).cast("int").alias(f"{c}_missing_flag")
+    return rows.select(*[repaired.get(c, F.col(c)) for c in df.columns], *flags.values())

@@ -20,8 +20,10 @@ def ceil_time(ts: str | Column, width: Span) -> Column:
     return F.timestamp_micros(floor_to(micros(ts) + F.lit(size - 1), size))
 
 
-def grid(bounds: DataFrame, *, keys: Sequence[str], ts: str, step: Span, start: str = "lo", end: str = "hi") -> DataFrame:
-    """All grid times from `start` to `end` (inclusive) per row of `bounds`.
+def grid(
+    bounds: DataFrame, *, keys: Sequence[str], ts: str, step: Span, start: str = "lo", end: str = "hi", index: str | None = None
+) -> DataFrame:
+    """All grid times from `start` to `end` (inclusive) per row of `bounds`, numbered from 0 as `index`.
 
     Times are made in two levels, blocks first, so that no row ever holds a whole series' times.
     """
@@ -31,8 +33,9 @@ def grid(bounds: DataFrame, *, keys: Sequence[str], ts: str, step: Span, start:
     blocks = bounds.select(*keys, lo.alias("_lo"), hi.alias("_hi")).filter("_lo <= _hi")
     blocks = blocks.withColumn("_from", F.explode(F.sequence(F.col("_lo"), F.col("_hi"), wide)))
     upper = F.least(F.col("_hi"), F.col("_from") + wide - F.lit(size))
-    times = blocks.select(*keys, F.explode(F.sequence(F.col("_from"), upper, F.lit(size).cast("long"))).alias("_u"))
-    return times.select(*keys, F.timestamp_micros("_u").alias(ts))
+    times = blocks.select(*keys, "_lo", F.explode(F.sequence(F.col("_from"), upper, F.lit(size).cast("long"))).alias("_u"))
+    number = [F.expr(f"(_u - _lo) div {size}").alias(index)] if index else []
+    return times.select(*keys, F.timestamp_micros("_u").alias(ts), *number)
 
 
 def time_bounds(df: DataFrame, *, keys: Sequence[str], ts: str, step: Span, outer: bool = False) -> DataFrame:
