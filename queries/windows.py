@@ -35,7 +35,7 @@ def rolling_mean(spark, sf_dir):
 
 @query("rolling_std_pop", sql(f"SELECT k, ts, {s6('v')} AS v, coalesce({_guard('stddev_pop(v)', SIX, 1)}, 0.0) AS std_6h, {_guard('stddev_pop(v)', ALL72, 36)} AS std_72h FROM G", "G"))
 def rolling_std_pop(spark, sf_dir):
-    df = _rolled(spark, sf_dir, {"std_6h": R.std_pop("v", span="6h"), "std_72h": R.wide_std_pop("v", span="72h", min_periods=36)})
+    df = _rolled(spark, sf_dir, {"std_6h": R.std_pop("v", span="6h"), "std_72h": R.std_pop("v", span="72h", min_periods=36)})
     return df.withColumn("std_6h", F.coalesce("std_6h", F.lit(0.0)))
 
 

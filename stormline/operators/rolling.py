@@ -177,6 +177,8 @@ class _Wide:
     """Wide windows as differences of running sums: linear in the rows, whatever the width.
 
     Values are centred on the chunk's mean first, so that a large offset does not eat the digits.
+    A spread is good to about 1e-6 of the chunk's own spread; narrow windows are better served by
+    `std_pop` and `std_samp`.
     """
 
     kind: str
@@ -202,7 +204,10 @@ class _Wide:
             result = F.col(centre) + s1 / n
         else:
             divisor = n if self.kind == "std_pop" else n - 1
-            spread = F.greatest(inside(F.col(dev) * F.col(dev)) - s1 * s1 / n, F.lit(0.0))
+            squares = F.col(dev) * F.col(dev)
+            spread = inside(squares) - s1 * s1 / n
+            # below the rounding noise of the running sum there is no spread to report
+            spread = F.when(spread > F.sum(squares).over(upto) * 1e-13, spread).otherwise(0.0)
             result = F.sqrt(spread / F.when(divisor > 0, divisor))
         return df, F.when(n >= max(self.min_periods, 1), result)
 

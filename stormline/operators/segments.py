@@ -161,15 +161,15 @@ def local_peaks(
 def missing_ranges(expected: DataFrame, present: DataFrame, day: str, *, keys: Sequence[str]) -> DataFrame:
     """Consecutive expected days that are not present, as (start, end)."""
     gone = expected.select(*keys, day).distinct().join(present.select(*keys, day).distinct(), [*keys, day], "left_anti")
-    # a day opens (closes) a range when the day before (after) is not missing
-    shifted = gone.select(*keys, F.date_add(day, 1).alias(day)).withColumn("_p", F.lit(True))
-    ahead = gone.select(*keys, F.date_sub(day, 1).alias(day)).withColumn("_q", F.lit(True))
+    # a day opens (closes) a range when the day before (after) is not missing: each missing day
+    # tells both neighbours of itself
+    told = gone.select(
+        *keys,
+        F.explode(F.array(*[F.struct(F.date_add(day, n).alias(day), F.lit(n).alias("_by")) for n in (0, 1, -1)])).alias("_t"),
+    ).select(*keys, "_t.*")
     edges = (
-        gone.withColumn("_d", F.lit(True))
-        .unionByName(shifted, allowMissingColumns=True)
-        .unionByName(ahead, allowMissingColumns=True)
-        .groupBy(*keys, day)
-        .agg(F.max("_d").alias("_d"), F.max("_p").alias("_p"), F.max("_q").alias("_q"))
+        told.groupBy(*keys, day)
+        .agg(*[F.max(F.when(F.col("_by") == n, True)).alias(c) for c, n in (("_d", 0), ("_p", 1), ("_q", -1))])
         .filter("_d AND (_p IS NULL OR _q IS NULL)")
     )
     opened = edges.filter("_p IS NULL").select(*keys, F.col(day).alias("start"))
