@@ -9,26 +9,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, US, Span, floor_to, micros, span_us
-from .fill import asof_join, carry
-from .segments import crossings, run_segments
+from stormline.session import materialise
+
+from .chunks import CHUNK, HALO, US, Span, before, chunk_window, floor_to, micros, over_chunks, span_us, with_chunk, with_context
+from .fill import carry
+from .segments import previous_row
 
 HOUR_US = 3_600_000_000
 
 
-def storm_segments(df: DataFrame, storm: Column, *, keys: Sequence[str], ts: str, chunk: Span = "30d") -> DataFrame:
-    """Rows of each storm run, with the run's first time as `seg_start`."""
-    marked = df.withColumn("_storm", F.coalesce(storm, F.lit(False)))
-    return run_segments(marked, F.col("_storm"), keys=keys, ts=ts, chunk=chunk).filter("_storm").select(*df.columns, "seg_start")
+def _marks(df: DataFrame, index: str, storm: Column, *, keys, ts, chunk, whole: bool) -> DataFrame:
+    """Downward zero crossings of `index` and first rows of storm runs (`whole`: all storm rows).
+
+    One ordered pass over the series; the marks are few, so they are written out before the steps
+    that read them several times.
+    """
+    state = F.coalesce(storm, F.lit(False))
+    seen = previous_row(df.withColumn("_storm", state), {"_v": index, "_s": "_storm"}, keys=keys, ts=ts, chunk=chunk)
+    begins = F.col("_storm") & ~F.coalesce(F.col("_s"), F.lit(False))
+    falls = F.coalesce((F.col(index) <= 0) & (F.col("_v") > 0), F.lit(False))
+    rows = seen.select(
+        *keys, ts, F.col(index).alias("_value"), "_storm",
+        F.when(falls, F.col(ts)).alias("_fall"), F.when(begins, F.col(ts)).alias("_begin"),
+    )
+    wanted = F.col("_storm") if whole else F.col("_begin").isNotNull()
+    return materialise(rows.filter(wanted | F.col("_fall").isNotNull()))
 
 
 def storm_onsets(df: DataFrame, index: str, storm: Column, *, keys: Sequence[str], ts: str, chunk: Span = "30d") -> DataFrame:
     """Per storm run the last downward zero crossing of `index` at or before the run; runs with none drop out."""
-    runs = storm_segments(df, storm, keys=keys, ts=ts, chunk=chunk)
-    starts = runs.filter(F.col(ts) == F.col("seg_start")).select(*keys, F.col(ts).alias("start"))
-    prior = crossings(df, index, 0.0, keys=keys, ts=ts, chunk=chunk).select(*keys, ts, F.col(ts).alias("onset"))
-    found = asof_join(starts, prior, keys=keys, ts="start", right_ts=ts, cols=["onset"], chunk=chunk, how="inner")
-    return found.select(*keys, "onset")
+    marks = _marks(df, index, storm, keys=keys, ts=ts, chunk=chunk, whole=False)
+    held = carry(marks, keys=keys, ts=ts, forward={"onset": "_fall"}, chunk=chunk)
+    return held.filter(F.col("_begin").isNotNull() & F.col("onset").isNotNull()).select(*keys, "onset")
 
 
 def greedy_spacing(df: DataFrame, *, keys: Sequence[str], ts: str, gap: Span = "4h", chunk: Span = "30d") -> DataFrame:
@@ -134,30 +146,25 @@ def merge_intervals(
     df: DataFrame, *, keys: Sequence[str], start: str, end: str, touch: Span = "1h", chunk: Span = "30d"
 ) -> DataFrame:
     """Union of intervals that overlap or touch within `touch`."""
-    # the furthest end so far, over all earlier intervals: a running maximum with a carry per chunk
-    from pyspark.sql import Window
-
-    from .chunks import HALO, before, chunk_window, over_chunks, upto, with_chunk, with_context
-
     rows = with_chunk(df.select(*keys, start, end).distinct(), start, chunk)
+    # the furthest end over all earlier intervals: a running maximum, handed on from chunk to chunk
     reach = rows.groupBy(*keys, CHUNK).agg(F.max(end).alias("_reach"))
     context = reach.select(*keys, CHUNK, F.max("_reach").over(before(over_chunks(keys))).alias("_reach"))
-    inside = chunk_window(keys, US, end)
     both = with_context(rows, context)
-    seen = both.withColumn("_far", F.max(F.coalesce("_reach", end)).over(before(inside))).filter(~F.col(HALO))
+    far = F.max(F.coalesce("_reach", end)).over(before(chunk_window(keys, US, end)))
+    seen = both.withColumn("_far", far).filter(~F.col(HALO))
     opens = F.col("_far").isNull() | (micros(start) > micros("_far") + F.lit(span_us(touch)))
-    named = carry(
-        seen.select(*keys, start, end, F.when(opens, F.struct(F.col(start).alias("s"))).alias("_open")),
-        keys=keys, ts=start, forward={"_in": "_open"}, chunk=chunk, order=[end],
-    )
-    return named.groupBy(*keys, F.col("_in.s").alias(start)).agg(F.max(end).alias(end))
+    opened = seen.select(*keys, start, end, F.when(opens, F.col(start)).alias("_open"))
+    named = carry(opened, keys=keys, ts=start, forward={"_in": "_open"}, chunk=chunk, order=[end])
+    return named.groupBy(*keys, F.col("_in").alias(start)).agg(F.max(end).alias(end))
 
 
 def storm_intervals(df: DataFrame, index: str, storm: Column, *, keys: Sequence[str], ts: str, chunk: Span = "30d") -> DataFrame:
     """From each run's onset (or its start) to its minimum of `index`, merged where they touch."""
-    runs = storm_segments(df, storm, keys=keys, ts=ts, chunk=chunk)
-    lows = runs.groupBy(*keys, F.col("seg_start").alias("start")).agg(F.min_by(ts, F.struct(F.col(index), F.col(ts))).alias("end"))
-    prior = crossings(df, index, 0.0, keys=keys, ts=ts, chunk=chunk).select(*keys, ts, F.col(ts).alias("onset"))
-    opened = asof_join(lows, prior, keys=keys, ts="start", right_ts=ts, cols=["onset"], chunk=chunk)
-    spans = opened.select(*keys, F.coalesce("onset", "start").alias("start"), "end")
+    marks = _marks(df, index, storm, keys=keys, ts=ts, chunk=chunk, whole=True)
+    held = carry(marks, keys=keys, ts=ts, forward={"_onset": "_fall", "_run": "_begin"}, chunk=chunk).filter("_storm")
+    spans = held.groupBy(*keys, "_run").agg(
+        F.min_by(F.struct("_onset"), F.col(ts)).alias("_o"), F.min_by(ts, F.struct("_value", ts)).alias("end")
+    )
+    spans = materialise(spans.select(*keys, F.coalesce("_o._onset", "_run").alias("start"), "end"))
     return merge_intervals(spans, keys=keys, start="start", end="end", chunk=chunk)

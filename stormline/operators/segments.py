@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,6 @@ from .chunks import (
     Span,
     before,
     chunk_window,
-    floor_to,
     micros,
     over_chunks,
     upto,
@@ -73,40 +74,73 @@ def run_segments(
     chunk: Span = "30d",
     neighbours: bool = False,
 ) -> DataFrame:
-    """Number the runs of equal state; add `seg` (from 1), `seg_start`, `seg_from` and `seg_len` (rows).
+    """Number the runs of equal state and say where each begins and ends.
 
-    `seg_start` is the time and `seg_from` the row position at which the run begins.  With
+    Adds `seg` (from 1), `seg_start` (time) and `seg_from` (row position) of its first row, `seg_len`
+    (rows), `seg_next` (time of the first row after it, NULL for the last run) and `series_end`.  With
     `neighbours`, `state_before` and `state_after` are the states of the adjoining runs.
     """
-    rows = previous_row(df.withColumn("_state", state), {"_was": F.struct(F.col("_state").alias("s"))}, keys=keys, ts=ts, chunk=chunk)
-    turned = F.col("_was").isNull() | ~F.col("_was.s").eqNullSafe(F.col("_state"))
-    mark = F.struct(F.col(POS).alias("p"), F.col(ts).alias("t"), F.col("_was.s").alias("w"), F.col("_state").alias("s"))
-    rows = with_chunk(rows.withColumn("_turn", F.when(turned, mark)).drop("_was"), ts, chunk)
-    summary = rows.groupBy(*keys, CHUNK).agg(
-        F.count("_turn").alias("_k"),
-        F.max_by("_turn", F.when(F.col("_turn").isNotNull(), F.col(US))).alias("_opened"),
-        F.min_by("_turn", F.when(F.col("_turn").isNotNull(), F.col(US))).alias("_closes"),
+    rows = with_chunk(df.withColumn("_state", state), ts, chunk)
+    here, at = F.struct(F.col("_state").alias("s")), F.col(ts)
+    plain = Window.partitionBy(*keys, CHUNK).orderBy(US)
+
+    # first pass: what each chunk looks like on its own, with positions counted from its first row
+    seen = rows.select(*keys, CHUNK, US, "_state", at.alias("_t"), F.lag(here).over(plain).alias("_was"), (F.row_number().over(plain) - 1).cast("long").alias("_p"))
+    mark = F.struct(F.col("_p").alias("p"), F.col("_t").alias("t"), F.col("_was.s").alias("w"), F.col("_state").alias("s"))
+    inner = F.when(F.col("_was").isNotNull() & ~F.col("_was.s").eqNullSafe(F.col("_state")), mark)
+    summary = seen.withColumn("_turn", inner).groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("_n"),
+        F.count("_turn").alias("_k"),
+        F.min_by(here, US).alias("_head"),
+        F.max_by(here, US).alias("_tail"),
+        F.min("_t").alias("_t0"),
+        F.max("_t").alias("_t1"),
+        F.min_by("_turn", F.when(F.col("_turn").isNotNull(), F.col(US))).alias("_first"),
+        F.max_by("_turn", F.when(F.col("_turn").isNotNull(), F.col(US))).alias("_last"),
     )
-    ahead, behind = before(over_chunks(keys)), before(over_chunks(keys, reverse=True))
-    context = summary.select(
-        *keys,
-        CHUNK,
+
+    # the table of chunks: does a chunk open with a turn, and what do its neighbours hand over
+    along = over_chunks(keys)
+    ahead, behind = before(along), before(over_chunks(keys, reverse=True))
+    linked = summary.select("*", F.lag("_tail").over(along).alias("_seen"), F.coalesce(F.sum("_n").over(ahead), F.lit(0).cast("long")).alias("_skip"))
+    opens = F.col("_seen").isNull() | ~F.col("_seen.s").eqNullSafe(F.col("_head.s"))
+
+    def placed(m: str) -> Column:
+        moved = F.struct((F.col(f"{m}.p") + F.col("_skip")).alias("p"), F.col(f"{m}.t").alias("t"), F.col(f"{m}.w").alias("w"), F.col(f"{m}.s").alias("s"))
+        return F.when(F.col(m).isNotNull(), moved)
+
+    edge = F.when(opens, F.struct(F.col("_skip").alias("p"), F.col("_t0").alias("t"), F.col("_seen.s").alias("w"), F.col("_head.s").alias("s")))
+    linked = linked.select(
+        *keys, CHUNK, "_n", "_seen", "_skip", "_t1", (F.col("_k") + opens.cast("long")).alias("_k"),
+        F.coalesce(placed("_last"), edge).alias("_opened"), F.coalesce(edge, placed("_first")).alias("_closes"),
+    )
+    context = linked.select(
+        *keys, CHUNK, "_seen", "_skip",
         F.coalesce(F.sum("_k").over(ahead), F.lit(0).cast("long")).alias("_k"),
         F.last("_opened", ignorenulls=True).over(ahead).alias("_opened"),
         F.last("_closes", ignorenulls=True).over(behind).alias("_closes"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_n"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        F.max("_t1").over(Window.partitionBy(*keys)).alias("_end"),
     )
+
+    # second pass: the same rows behind their context row
     up, down = chunk_window(keys, US), chunk_window(keys, US, reverse=True)
     both = with_context(rows, context)
+    one = F.when(F.col(HALO), F.col("_skip")).otherwise(F.lit(1).cast("long"))
+    both = both.select(
+        "*", F.lag(F.coalesce("_seen", F.when(~F.col(HALO), here))).over(up).alias("_was"), (F.sum(one).over(upto(up)) - 1).alias(POS)
+    )
+    turned = ~F.col(HALO) & (F.col("_was").isNull() | ~F.col("_was.s").eqNullSafe(F.col("_state")))
+    mark = F.struct(F.col(POS).alias("p"), at.alias("t"), F.col("_was.s").alias("w"), F.col("_state").alias("s"))
+    both = both.withColumn("_turn", F.when(turned, mark))
     both = both.select(
         "*",
         F.sum(F.when(F.col(HALO), F.col("_k")).otherwise(F.col("_turn").isNotNull().cast("long"))).over(upto(up)).alias("seg"),
         F.last(F.coalesce("_turn", "_opened"), ignorenulls=True).over(upto(up)).alias("_open"),
         F.last(F.coalesce("_turn", "_closes"), ignorenulls=True).over(before(down)).alias("_close"),
-        F.first("_n", ignorenulls=True).over(upto(up)).alias("_total"),
+        F.first("_total", ignorenulls=True).over(upto(up)).alias("_rows"),
+        F.first("_end", ignorenulls=True).over(upto(up)).alias("series_end"),
     )
-    end = F.coalesce(F.col("_close.p"), F.col("_total"))
     extra = [F.col("_open.w").alias("state_before"), F.col("_close.s").alias("state_after")] if neighbours else []
     return both.filter(~F.col(HALO)).select(
         *df.columns,
@@ -114,7 +148,9 @@ def run_segments(
         "seg",
         F.col("_open.t").alias("seg_start"),
         F.col("_open.p").alias("seg_from"),
-        (end - F.col("_open.p")).alias("seg_len"),
+        (F.coalesce(F.col("_close.p"), F.col("_rows")) - F.col("_open.p")).alias("seg_len"),
+        F.col("_close.t").alias("seg_next"),
+        "series_end",
         *extra,
     )
 
@@ -133,16 +169,8 @@ def flag_intervals(
 ) -> DataFrame:
     """Intervals (start, end) in which the flag holds; the end is the first row after it, or the last row."""
     runs = run_segments(df.select(*keys, ts, flag.alias("_on")), F.col("_on"), keys=keys, ts=ts, chunk=chunk)
-    bounds = runs.groupBy(*keys, "seg", "_on").agg(F.min(ts).alias("start"), F.max(ts).alias("_last"))
-    # a run ends where the next run starts; runs are far fewer than rows and are chunked by number
-    block = floor_to(F.col("seg"), 4096)
-    here = bounds.withColumn("_b", F.explode(F.array_distinct(F.array(block, floor_to(F.col("seg") - 1, 4096)))))
-    nxt = F.lead("start").over(Window.partitionBy(*keys, "_b").orderBy("seg"))
-    return (
-        here.withColumn("_next", nxt)
-        .filter((F.col("_b") == block) & F.col("_on"))
-        .select(*keys, "start", F.coalesce("_next", "_last").alias("end"))
-    )
+    opening = runs.filter(F.col("_on") & (F.col(POS) == F.col("seg_from")))
+    return opening.select(*keys, F.col(ts).alias("start"), F.coalesce("seg_next", "series_end").alias("end"))
 
 
 def local_peaks(
@@ -180,3 +208,70 @@ def missing_ranges(expected: DataFrame, present: DataFrame, day: str, *, keys: S
     )
     paired = carry(both, keys=keys, ts="_t", forward={"start": "start"}, chunk="3650d", order=["_side"])
     return paired.filter(F.col("_e").isNotNull()).select(*keys, "start", F.col("_e").alias("end"))
+
+
+def prominent_peaks(
+    df: DataFrame, col: str, *, keys: Sequence[str], ts: str, prominence: float, chunk: Span = "30d"
+) -> DataFrame:
+    """Local maxima that stand out by at least `prominence` on both sides.
+
+    A peak of height h qualifies on its left when, walking left, the values fall to h - prominence
+    before any exceeds h (or the series ends).  That holds exactly for h >= T, where passing a value
+    x turns T into max(x, min(T, x + prominence)), and T starts at infinity.  Such a step is a clamp, and
+    clamps compose to clamps, so a chunk is summed up by two numbers per side, the short list of
+    chunks is composed in order, and no side ever needs rows beyond its own chunk.
+    """
+    inf = float("inf")
+    head = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    value = df.select(*keys, ts, F.col(col).alias("_v"))
+    rows = with_chunk(value, ts, chunk).select(*keys, CHUNK, US, F.col("_v").cast("double").alias("_v"))
+
+    def clamps(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row the clamp composed of the rows before it."""
+        low, high = np.empty(len(values)), np.empty(len(values))
+        lo, hi = -inf, inf
+        for i, x in enumerate(values):
+            low[i], high[i] = lo, hi
+            if x == x:
+                lo, hi = max(x, min(lo, x + prominence)), max(x, min(hi, x + prominence))
+        return np.append(low, lo), np.append(high, hi)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(US)
+        v = pdf["_v"].to_numpy(dtype=float)
+        llo, lhi = clamps(v)
+        rlo, rhi = clamps(v[::-1])
+        out = pdf[[*keys, CHUNK, US]].copy()
+        out["_llo"], out["_lhi"] = llo[:-1], lhi[:-1]
+        out["_rlo"], out["_rhi"] = rlo[:-1][::-1], rhi[:-1][::-1]
+        out = out[(v >= llo[:-1]) & (v >= rlo[:-1][::-1])]  # no entry can lower the bound below these
+        ends = pdf[[*keys, CHUNK]].iloc[[0]].copy()
+        ends["_llo"], ends["_lhi"], ends["_rlo"], ends["_rhi"] = llo[-1], lhi[-1], rlo[-1], rhi[-1]
+        return pd.concat([out, ends], ignore_index=True)[[*keys, CHUNK, US, "_llo", "_lhi", "_rlo", "_rhi"]].astype({US: "Int64"})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK)
+        left, right, t = [], [], inf
+        for lo, hi in zip(pdf["_llo"], pdf["_lhi"]):
+            left.append(t)
+            t = max(lo, min(t, hi))
+        t = inf
+        for lo, hi in zip(pdf["_rlo"][::-1], pdf["_rhi"][::-1]):
+            right.append(t)
+            t = max(lo, min(t, hi))
+        out = pdf[[*keys, CHUNK]].copy()
+        out["_tl"], out["_tr"] = left, right[::-1]
+        return out
+
+    sides = "_llo double, _lhi double, _rlo double, _rhi double"
+    composed = rows.groupBy(*keys, CHUNK).applyInPandas(inside, f"{head}{CHUNK} long, {US} long, {sides}")
+    entered = (
+        composed.filter(F.col(US).isNull()).drop(US).groupBy(*keys).applyInPandas(across, f"{head}{CHUNK} long, _tl double, _tr double")
+    )
+    tops = with_chunk(local_peaks(df, col, keys=keys, ts=ts, chunk=chunk), ts, chunk)
+    known = tops.join(composed.filter(F.col(US).isNotNull()), [*keys, CHUNK, US]).join(entered, [*keys, CHUNK])
+
+    def reached(lo: str, hi: str, entry: str) -> Column:
+        return F.col(col) >= F.greatest(F.col(lo), F.least(F.col(entry), F.col(hi)))
+
+    return known.filter(reached("_llo", "_lhi", "_tl") & reached("_rlo", "_rhi", "_tr")).select(*df.columns)

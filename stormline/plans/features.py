@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 from stormline.functions.lookup import AP_LEVEL, KP_REGIME, bucket_right_closed, kp_to_ap
 from stormline.operators import rolling as R
 from stormline.operators.chunks import POS, Span, micros
-from stormline.operators.fill import asof_join, exact_then_ffill
+from stormline.operators.fill import carry
 from stormline.operators.quality import clip_high, clip_low, finite
 from stormline.operators.resample import ceil_time, floor_time, grid, on_grid, reindex_ffill
 from stormline.operators.segments import previous_row
 from stormline.operators.upsert import dedupe_last
+from stormline.session import materialise
 
 PROTON_MASS = 1.6726219e-27
 DECAY_TAU_HOURS = 36.0
 XRAY_EPS = 1e-12
 FLUX_EPS = 1e-6
 NEVER_HOURS = 1e6
+HOUR_US = 3_600_000_000
 
 
 def _zero(value: Column) -> Column:
@@ -256,8 +258,12 @@ def cme_hourly(events: DataFrame, *, keys: Sequence[str], ts: str, as_of: str |
     """Events on the hourly grid from the first event's hour to the later of the last event and `as_of`.
 
     Hours since the last event and the 24-hour strength sum see every event; the "last" columns only
-    take events exactly on the hour, and hold them.
+    take events exactly on the hour, and hold them.  The event list is small against the grid and read
+    by several steps, so it is written out first.
     """
+    columns = {"last_cme_v_med": "median_velocity", "effective_width": "effective_width", "cme_overtaking_flag": "cme_overtaking_flag",
+               "last_cme_shock_proxy": "shock_proxy"}
+    events = materialise(events.select(*keys, ts, "strength", *columns.values()))
     ends = events.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     last = ceil_time("_b", "1h")
     if as_of is not None:
@@ -265,21 +271,15 @@ def cme_hourly(events: DataFrame, *, keys: Sequence[str], ts: str, as_of: str |
     times = grid(ends.select(*keys, floor_time("_a", "1h").alias("lo"), last.alias("hi")), keys=keys, ts=ts, step="1h")
     hourly = on_grid(events.select(*keys, ts, "strength"), {"_s": _zero(F.sum("strength"))}, keys=keys, ts=ts, step="1h", times=times)
     hourly = R.rolling(hourly, {"cme_strength_sum_24h": R.total("_s", rows=24)}, keys=keys, ts=ts, chunk=chunk, step="1h").drop("_s")
-    hourly = asof_join(hourly, events.select(*keys, ts, F.col(ts).alias("_last")), keys=keys, ts=ts, cols=["_last"], chunk=chunk)
-    since = _hours_since(ts)
-    on_hour = events.filter(micros(ts) == micros(floor_time(ts, "1h"))).select(
-        *keys, ts,
-        F.col("median_velocity").alias("last_cme_v_med"), "effective_width",
-        "cme_overtaking_flag", F.col("shock_proxy").alias("last_cme_shock_proxy"),
-    )
-    defaults = {"last_cme_v_med": 0.0, "effective_width": 0.0, "cme_overtaking_flag": 0, "last_cme_shock_proxy": 0.0}
-    hourly = exact_then_ffill(hourly, on_hour, defaults, keys=keys, ts=ts, chunk=chunk)
-    hourly = hourly.withColumn("hours_since_last_cme", F.coalesce(since, F.lit(NEVER_HOURS))).drop("_last")
-    return hourly.withColumn("cme_influence_exp", F.exp(-F.col("hours_since_last_cme") / DECAY_TAU_HOURS))
-
 
-def _hours_since(ts: str) -> Column:
-    return (micros(ts) - micros("_last")) / F.lit(3_600_000_000)
+    # events and grid hours in one sequence, an event before the hour it falls on
+    on_hour = micros(ts) == micros(floor_time(ts, "1h"))
+    met = events.select(*keys, ts, F.lit(0).alias("_side"), F.col(ts).alias("_at"), *[F.when(on_hour, F.col(c)).alias(n) for n, c in columns.items()])
+    both = hourly.withColumn("_side", F.lit(1)).unionByName(met, allowMissingColumns=True)
+    held = carry(both, keys=keys, ts=ts, forward={"_at": "_at", **{n: n for n in columns}}, chunk=chunk, order=["_side"]).filter("_side = 1")
+    hours = F.coalesce((micros(ts) - micros("_at")) / F.lit(HOUR_US), F.lit(NEVER_HOURS))
+    out = held.withColumns({"hours_since_last_cme": hours, **{n: F.coalesce(F.col(n), F.lit(0)) for n in columns}})
+    return out.withColumn("cme_influence_exp", F.exp(-F.col("hours_since_last_cme") / DECAY_TAU_HOURS)).drop("_side", "_at")
 
 
 def cme_windows(df: DataFrame, *, keys: Sequence[str], ts: str, chunk: Span = "30d") -> DataFrame:
