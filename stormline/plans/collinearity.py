@@ -23,8 +23,10 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pearson matrix over the complete rows."""
+    """Pearson matrix over the complete rows; all NaN when there are none."""
     complete = df.select(*cols).dropna("any")
+    if complete.isEmpty():
+        return np.full((len(cols), len(cols)), np.nan)
     vectors = VectorAssembler(inputCols=list(cols), outputCol="x").transform(complete).select("x")
     return Correlation.corr(vectors, "x").head()[0].toArray()
 
@@ -43,6 +45,8 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> Da
 
 def _inflation(r: np.ndarray) -> np.ndarray:
     """Diagonal of the inverse correlation matrix; infinite for features that others determine exactly."""
+    if np.isnan(r).all():
+        return np.full(len(r), np.nan)
     values, vectors = np.linalg.eigh(np.nan_to_num(r))
     null = values <= values.max() * 1e-10
     kept = ~null
@@ -53,7 +57,7 @@ def _inflation(r: np.ndarray) -> np.ndarray:
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation of each feature against all others with a constant, highest first."""
-    rows = [(c, float(v)) for c, v in zip(cols, _inflation(correlation_matrix(df, cols)))]
+    rows = [(c, None if np.isnan(v) else float(v)) for c, v in zip(cols, _inflation(correlation_matrix(df, cols)))]
     out = df.sparkSession.createDataFrame(rows, "feature string, vif double")
     level = F.when(F.col("vif") >= VIF_HIGH, "high").when(F.col("vif") >= VIF_WARN, "warn").otherwise("ok")
     return out.withColumn("level", level).orderBy(F.desc("vif"), "feature")
@@ -62,9 +66,9 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def singular_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Singular values of the standardised matrix.  They come from its Gramian, so values below about
     1e-8 of the largest are rounding noise and read as 0."""
-    n = df.select(*cols).dropna("any").count()
-    values = np.linalg.eigvalsh(np.nan_to_num(correlation_matrix(df, cols)))[::-1] * n
-    values = np.sqrt(np.where(values > values.max() * 1e-14, values, 0.0))
+    n, r = df.select(*cols).dropna("any").count(), correlation_matrix(df, cols)
+    values = np.linalg.eigvalsh(np.nan_to_num(r))[::-1] * n if n else np.empty(0)
+    values = np.sqrt(np.where(values > values.max(initial=0.0) * 1e-14, values, 0.0))
     return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, singular_value double")
 
 
@@ -75,5 +79,5 @@ def condition_number(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     tops = s.agg(F.max("singular_value")).scalar()
     near = F.count_if(F.col("singular_value") <= F.greatest(tops * 1e-6, F.lit(1e-12)))
     return s.agg(
-        top.alias("largest"), F.when(low > 0, top / low).otherwise(float("inf")).alias("condition_number"), near.alias("near_degenerate")
+        top.alias("largest"), F.when(low > 0, top / low).when(low == 0, float("inf")).alias("condition_number"), near.alias("near_degenerate")
     )
