@@ -12,6 +12,7 @@ from stormline.plans import features as D
 
 from .fixtures import catalogue, daily, dst, feed, gridded, kp, r6, rounded, table, wide
 from .registry import query
+from .registry import r3 as s3
 from .registry import r6 as s6
 from .registry import sql
 from .rows import _CASE, WINDOWS
@@ -34,10 +35,12 @@ def need(agg: str, col: str, over: str, n: int) -> str:
 
 
 def listed(*cols: str) -> str:
-    return ", ".join(f"{s6(c)} AS {c.strip(chr(34))}" for c in cols)
+    return ", ".join(f"{(s3 if c.startswith('newell') else s6)(c)} AS {c.strip(chr(34))}" for c in cols)
 
 
 def _out(df, *exact):
+    large = [c for c in df.columns if c.startswith("newell")]
+    df, exact = df.withColumns({c: F.round(F.col(c) + F.lit(3.7e-7), 3) + F.lit(0.0) for c in large}), (*exact, *large)
     return rounded(df, *[f.name for f in df.schema.fields if f.dataType.typeName() == "double" and f.name not in exact])
 
 

@@ -71,6 +71,11 @@ def r6(expression: str) -> str:
     return f"(round({expression} + 3.7e-10, 6) + 0.0)"
 
 
+def r3(expression: str) -> str:
+    """Three decimals, for figures in the ten thousands."""
+    return f"(round({expression} + 3.7e-7, 3) + 0.0)"
+
+
 def query(name: str, text: str | None = None):
     """Register a query; instants leave as zone-free timestamps."""
 

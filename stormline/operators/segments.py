@@ -17,13 +17,13 @@ from .chunks import (
     Span,
     before,
     chunk_window,
+    floor_to,
     micros,
     over_chunks,
     upto,
     with_chunk,
     with_context,
 )
-from .fill import carry
 
 
 def previous_row(
@@ -186,28 +186,28 @@ def local_peaks(
     return peaks.select(*df.columns)
 
 
-def missing_ranges(expected: DataFrame, present: DataFrame, day: str, *, keys: Sequence[str]) -> DataFrame:
-    """Consecutive expected days that are not present, as (start, end)."""
-    gone = expected.select(*keys, day).distinct().join(present.select(*keys, day).distinct(), [*keys, day], "left_anti")
-    # a day opens (closes) a range when the day before (after) is not missing: each missing day
-    # tells both neighbours of itself
-    told = gone.select(
-        *keys,
-        F.explode(F.array(*[F.struct(F.date_add(day, n).alias(day), F.lit(n).alias("_by")) for n in (0, 1, -1)])).alias("_t"),
-    ).select(*keys, "_t.*")
-    edges = (
-        told.groupBy(*keys, day)
-        .agg(*[F.max(F.when(F.col("_by") == n, True)).alias(c) for c, n in (("_d", 0), ("_p", 1), ("_q", -1))])
-        .filter("_d AND (_p IS NULL OR _q IS NULL)")
-    )
-    opened = edges.filter("_p IS NULL").select(*keys, F.col(day).alias("start"))
-    closed = edges.filter("_q IS NULL").select(*keys, F.col(day).alias("end"))
-    both = opened.select(*keys, F.col("start").cast("timestamp").alias("_t"), F.lit(1).alias("_side"), "start").unionByName(
-        closed.select(*keys, F.col("end").cast("timestamp").alias("_t"), F.lit(2).alias("_side"), F.col("end").alias("_e")),
-        allowMissingColumns=True,
+def missing_ranges(expected: DataFrame, present: DataFrame, day: str, *, keys: Sequence[str], chunk_days: int = 3650) -> DataFrame:
+    """Consecutive expected days that are not present, as (start, end).
+
+    Both sides meet in one shuffle by (series, chunk of days), which also serves the numbering of the
+    days; only the pieces that touch a chunk's border are looked at again, at most two per chunk.
+    """
+    number = F.unix_date(day).cast("long")
+    sides = expected.select(*keys, day, F.lit(False).alias("_in")).unionByName(present.select(*keys, day, F.lit(True).alias("_in")))
+    placed = sides.withColumn(CHUNK, floor_to(number, chunk_days)).repartition(*keys, CHUNK)
+    gone = placed.groupBy(*keys, CHUNK, day).agg(F.max("_in").alias("_in")).filter("NOT _in")
+    along = Window.partitionBy(*keys, CHUNK).orderBy(day)
+    pieces = (
+        gone.withColumn("_run", number - F.row_number().over(along))
+        .groupBy(*keys, CHUNK, "_run")
+        .agg(F.min(day).alias("start"), F.max(day).alias("end"))
     )
-    paired = carry(both, keys=keys, ts="_t", forward={"start": "start"}, chunk="3650d", order=["_side"])
-    return paired.filter(F.col("_e").isNotNull()).select(*keys, "start", F.col("_e").alias("end"))
+    first, last = F.unix_date("start") == F.col(CHUNK), F.unix_date("end") == F.col(CHUNK) + (chunk_days - 1)
+    pieces = pieces.withColumn("_slot", F.when(~(first | last), F.col("start")))
+    beside = Window.partitionBy(*keys, "_slot").orderBy("start")
+    apart = F.coalesce(F.datediff("start", F.lag("end").over(beside)) > 1, F.lit(True))
+    joined = pieces.withColumn("_apart", apart.cast("int")).withColumn("_run", F.sum("_apart").over(beside))
+    return joined.groupBy(*keys, "_slot", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end")
 
 
 def prominent_peaks(
