@@ -59,7 +59,7 @@ _BANDS = ["click", "error", "purchase", "signup", "view"]
 @query("pivot_median", "SELECT date_trunc('hour', ts) AS ts, " + ", ".join(f"{s6(f'median(value) FILTER (event_type = {b!r})')} AS {b}" for b in _BANDS) + " FROM events GROUP BY 1")
 def pivot_median(spark, sf_dir):
     hour = keyed(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "ts"))
-    return hour.groupBy("ts").agg(*[r6(F.median(F.when(F.col("k") == b, F.col("v")))).alias(b) for b in _BANDS])
+    return rounded(A.pivot_median(hour, keys=["ts"], band="k", value="v", bands=_BANDS), *_BANDS)
 
 
 @query("row_median", sql(f"SELECT ts, {s6('CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NULL THEN a.v ELSE (a.v + b.v) / 2 END')} AS m2, {s6('list_median(list_filter([a.v, b.v, w.error], lambda x: x IS NOT NULL))')} AS m3 FROM FEED_A a JOIN FEED_B b USING (ts) JOIN WIDE w USING (ts)", "FEED_A", "FEED_B", "WIDE"))

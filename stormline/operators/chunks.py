@@ -56,6 +56,21 @@ def with_chunk(df: DataFrame, ts: str, chunk: Span) -> DataFrame:
     return df.withColumn(US, micros(ts)).withColumn(CHUNK, floor_to(F.col(US), span_us(chunk)))
 
 
+def balanced_chunk(df: DataFrame, *, keys: Sequence[str], ts: str, rows: int = 2_000_000) -> int:
+    """A chunk width (microseconds) at which the busiest chunk of the busiest series holds about `rows` rows.
+
+    Counts rows per series and hour, and only if an hour is already too full per minute and second.
+    Use it for raw feeds of unknown rate; on an hourly grid the default widths are bounded as they are.
+    """
+    for unit in ("h", "m", "s"):
+        width = _UNIT[unit]
+        per = with_chunk(df, ts, width).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("n"))
+        most = per.agg(F.max("n")).head()[0] or 0
+        if most <= rows:
+            return width * max(1, min(rows // max(most, 1), 24 * 3650 * (_UNIT["h"] // width)))
+    return _UNIT["s"]
+
+
 def with_halo(df: DataFrame, order: str, width: int, back: int, ahead: int = 0) -> DataFrame:
     """Send each row to its own chunk and to every chunk whose frames reach it."""
     value = F.col(order)

@@ -44,7 +44,7 @@ def carry(
     forward, backward, series = forward or {}, backward or {}, series or {}
     merge = {"min": F.min, "max": F.max, "sum": F.sum}
     rows = with_chunk(df, ts, chunk)
-    rank = F.struct(US, *order)
+    rank = F.struct(US, *order) if order else F.col(US)
     known = {**{f"_f_{n}": (c, F.max_by) for n, c in forward.items()}, **{f"_b_{n}": (c, F.min_by) for n, c in backward.items()}}
     per_chunk = rows.groupBy(*keys, CHUNK).agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(n) for n, (c, pick) in known.items()],
@@ -166,28 +166,31 @@ def interpolate_both(
     rows = df.withColumn(POS, F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) div {span_us(step)}")) if step else positions(
         df, keys=keys, ts=ts, chunk=chunk
     )
-    known = F.struct(F.col(col).alias("v"), us.alias("u"), F.col(POS).alias("p"))
-    rows = rows.withColumn("_seen", F.when(F.col(col).isNotNull(), known))
-    rows = carry(rows, keys=keys, ts=ts, forward={"_prev": "_seen"}, backward={"_next": "_seen"}, chunk=chunk)
-    near_prev = F.col(POS) - F.col("_prev.p") <= limit
-    near_next = F.col("_next.p") - F.col(POS) <= limit
-    slope = (F.col("_next.v") - F.col("_prev.v")) / (F.col("_next.u") - F.col("_prev.u"))
+    # three plain columns rather than one struct: their last values combine in a hash aggregate
+    seen = F.col(col).isNotNull()
+    rows = rows.withColumns({"_v": F.col(col), "_u": F.when(seen, us), "_p": F.when(seen, F.col(POS))})
+    parts = ("v", "u", "p")
+    rows = carry(
+        rows, keys=keys, ts=ts, chunk=chunk, forward={f"_p{c}": f"_{c}" for c in parts}, backward={f"_n{c}": f"_{c}" for c in parts}
+    )
+    near_prev, near_next = F.col(POS) - F.col("_pp") <= limit, F.col("_np") - F.col(POS) <= limit
+    slope = (F.col("_nv") - F.col("_pv")) / (F.col("_nu") - F.col("_pu"))
 
     def on_line(at: Column) -> Column:
-        return F.col("_prev.v") + slope * (at - F.col("_prev.u"))
+        return F.col("_pv") + slope * (at - F.col("_pu"))
 
-    has_both = F.col("_prev").isNotNull() & F.col("_next").isNotNull()
+    has_both = F.col("_pp").isNotNull() & F.col("_np").isNotNull()
     value = (
         F.when(F.col(col).isNotNull(), F.col(col))
         .when(has_both & (near_prev | near_next), on_line(us))
-        .when(F.col("_next").isNull() & near_prev, F.col("_prev.v"))
-        .when(F.col("_prev").isNull() & near_next, F.col("_next.v"))
+        .when(F.col("_np").isNull() & near_prev, F.col("_pv"))
+        .when(F.col("_pp").isNull() & near_next, F.col("_nv"))
     )
     if close and step:
         # a gap core takes the last interpolated value before it, `limit` steps into the gap
-        held = on_line(F.col("_prev.u") + F.lit(limit * span_us(step)))
-        value = F.coalesce(value, F.when(has_both, held), F.col("_prev.v"), F.col("_next.v"), F.lit(0.0))
+        held = on_line(F.col("_pu") + F.lit(limit * span_us(step)))
+        value = F.coalesce(value, F.when(has_both, held), F.col("_pv"), F.col("_nv"), F.lit(0.0))
     elif close:
         rows = carry(rows.withColumn("_filled", value), keys=keys, ts=ts, forward={"_held": "_filled"}, chunk=chunk)
-        value = F.coalesce(F.col("_held"), F.col("_next.v"), F.lit(0.0))
+        value = F.coalesce(F.col("_held"), F.col("_nv"), F.lit(0.0))
     return rows.select(*[value.alias(c) if c == col else F.col(c) for c in df.columns])

@@ -140,24 +140,23 @@ def impute_gap_rule(
     at = f"unix_micros(CAST({ts} AS TIMESTAMP)) div {span_us(step)}" if step else None
     rows = df.withColumn(POS, F.expr(at)) if at else positions(df, keys=keys, ts=ts, chunk=chunk)
     us = micros(ts)
-    for c in cols:
-        known = F.struct(F.col(c).alias("v"), us.alias("u"), F.col(POS).alias("p"))
-        rows = rows.withColumn(f"_k_{c}", F.when(F.col(c).isNotNull(), known))
+    parts = {"v": lambda c: F.col(c), "u": lambda c: us, "p": lambda c: F.col(POS)}
+    rows = rows.withColumns({f"_{n}_{c}": F.when(F.col(c).isNotNull(), part(c)) for c in cols for n, part in parts.items()})
     rows = carry(
         rows,
         keys=keys,
         ts=ts,
-        forward={f"_p_{c}": f"_k_{c}" for c in cols},
-        backward={f"_n_{c}": f"_k_{c}" for c in cols},
+        forward={f"_p{n}_{c}": f"_{n}_{c}" for c in cols for n in parts},
+        backward={f"_n{n}_{c}": f"_{n}_{c}" for c in cols for n in parts},
         series={"_lo": (POS, "min"), "_hi": (POS, "max")},
         chunk=chunk,
     )
     repaired, flags = {}, {}
     for c in cols:
-        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        run = F.coalesce(n["p"], F.col("_hi") + 1) - F.coalesce(p["p"], F.col("_lo") - 1) - 1
-        line = p["v"] + (n["v"] - p["v"]) / (n["u"] - p["u"]) * (us - p["u"])
-        near = F.coalesce(F.when(p.isNotNull() & n.isNotNull(), line), p["v"], n["v"])
+        pv, pu, pp, nv, nu, np_ = (F.col(f"_{side}{n}_{c}") for side in "pn" for n in parts)
+        run = F.coalesce(np_, F.col("_hi") + 1) - F.coalesce(pp, F.col("_lo") - 1) - 1
+        line = pv + (nv - pv) / (nu - pu) * (us - pu)
+        near = F.coalesce(line, pv, nv)  # the line is NULL when either side is
         filled = F.when(run <= small, near)
         repaired[c] = F.coalesce(F.col(c), filled, F.lit(0.0)).alias(c)
         flags[c] = (F.col(c).isNull() & filled.isNull()).cast("int").alias(f"{c}_missing_flag")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Span, floor_to, micros, span_us
+from .chunks import CHUNK, HALO, Span, before, chunk_window, floor_to, micros, over_chunks, span_us, upto, with_context
 from .fill import carry, ffill
 
 
@@ -106,3 +106,39 @@ def minute_bucket(df: DataFrame, floats: Sequence[str], flags: Sequence[str], *,
         *[F.avg(c).alias(c) for c in floats],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in flags],
     )
+
+
+def grouped_median(df: DataFrame, col: str, *, keys: Sequence[str], bins: int = 4096) -> DataFrame:
+    """Exact median per group, without holding a group's values in one task.
+
+    Equal values are counted first; the value range is cut into bins, counts run over the bins, and
+    only the bins that hold a middle rank are looked into.
+    """
+    valid = df.filter(F.col(col).isNotNull())
+    span = valid.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("span")).scalar()
+    width = F.when(span["hi"] > span["lo"], (span["hi"] - span["lo"]) / bins).otherwise(1.0)
+    counts = valid.groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn(CHUNK, F.floor((F.col("_v") - span["lo"]) / width).cast("long"))
+    totals = counts.groupBy(*keys, CHUNK).agg(F.sum("_n").alias("_n"))
+    context = totals.select(
+        *keys, CHUNK,
+        F.coalesce(F.sum("_n").over(before(over_chunks(keys))), F.lit(0).cast("long")).alias("_n"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
+    )
+    run = upto(chunk_window(keys, "_v"))
+    ranked = with_context(counts, context).select(
+        "*", F.sum("_n").over(run).alias("_upto"), F.first("_all", ignorenulls=True).over(run).alias("_total")
+    ).filter(~F.col(HALO))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+
+    middle = ranked.groupBy(*keys).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b"))
+    return middle.select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(col))
+
+
+def pivot_median(df: DataFrame, *, keys: Sequence[str], band: str, value: str, bands: Sequence[str]) -> DataFrame:
+    """One column per band with the median of its rows; the bands are named, so no scan is spent on finding them."""
+    medians = grouped_median(df.filter(F.col(band).isin(*bands)), value, keys=[*keys, band])
+    return medians.groupBy(*keys).agg(*[F.max(F.when(F.col(band) == b, F.col(value))).alias(b) for b in bands])

@@ -221,12 +221,28 @@ def rolling(
     chunk: Span = "30d",
     step: Span | None = None,
     chunk_rows: int = 100_000,
+    between: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Add one column per aggregate.
 
+    With `between` only rows in that inclusive time range are returned, and only those and the rows
+    their windows reach are read: a filter above a window is not pushed below it, so it is put there.
+
     Row windows need `step` (the rows lie on a regular grid, so rows are times) or are computed on
     row positions in blocks of `chunk_rows`; time windows use chunks of `chunk`.
     """
+    if between:
+        if step is None and any(a.by_rows for a in columns.values()):
+            raise ValueError("row windows without a step reach unknown times; filter the result instead")
+        unit = span_us(step) if step else 1
+        back = max(a.width * (unit if a.by_rows else 1) for a in columns.values())
+        ahead = max(a.ahead * (unit if a.by_rows else 1) for a in columns.values())
+        kind = df.schema[ts].dataType
+        lo, hi = (F.lit(edge).cast("timestamp") for edge in between)
+        reach = (F.timestamp_micros(micros(lo) - F.lit(back)), F.timestamp_micros(micros(hi) + F.lit(ahead)))
+        sliced = df.filter((F.col(ts) >= reach[0].cast(kind)) & (F.col(ts) <= reach[1].cast(kind)))
+        out = rolling(sliced, columns, keys=keys, ts=ts, chunk=chunk, step=step)
+        return out.filter((F.col(ts) >= lo.cast(kind)) & (F.col(ts) <= hi.cast(kind)))
     timed = {n: a for n, a in columns.items() if not a.by_rows}
     counted = {n: a for n, a in columns.items() if a.by_rows}
     if counted and step is None:

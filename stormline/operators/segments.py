@@ -33,7 +33,7 @@ def previous_row(
     rows = with_chunk(df, ts, chunk)
     whole = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()])
     rows = rows.withColumn("_row", whole)
-    rank = F.struct(US, *order)
+    rank = F.struct(US, *order) if order else F.col(US)
     edges = rows.groupBy(*keys, CHUNK).agg(F.max_by("_row", rank).alias("_row"), F.count(F.lit(1)).alias("_n"))
     over = over_chunks(keys)
     context = edges.select(
