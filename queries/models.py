@@ -11,10 +11,11 @@ from stormline.plans import collinearity as C
 from stormline.plans import features as D
 from stormline.plans import horizons as M
 from stormline.plans import metrics as P
+from stormline.plans import stages as S
 from stormline.session import materialise, shared_folder
 from stormline.sources.feeds import write_report
 
-from .fixtures import dst, r6, rounded, scored, wide
+from .fixtures import catalogue, dst, keyed, r6, rounded, scored, wide
 from .registry import query
 from .registry import r6 as s6
 from .registry import sql
@@ -152,6 +153,37 @@ def prune_features(spark, sf_dir):
     return spark.createDataFrame([(f, s, f in kept) for f, s in M.gain_shares(model, FEATURES)], "feature string, gain_share double, kept boolean")
 
 
+def _feeds(spark, sf_dir):
+    """The raw feeds that the stages take, from event kinds."""
+    raw = keyed(spark, sf_dir).select("k", "event_id", F.col("ts").alias("time_tag"), "v")
+
+    def kind(k, **cols):
+        return raw.filter(F.col("k") == k).select("time_tag", *[value.alias(name) for name, value in cols.items()])
+
+    v = F.col("v")
+    on_hour = raw.withColumn("time_tag", F.date_trunc("hour", "time_tag")).groupBy("time_tag").agg(F.avg("v").alias("adjusted_flux"))
+    cme = catalogue(spark, sf_dir).withColumnRenamed("ts", "time_tag")
+    return {
+        "dst": kind("error", dst=60 - 2 * v), "kp": kind("view", kp_index=F.least(v / 10, F.lit(9.0))), "sunspot": kind("signup", sunspot_number=v),
+        "flux": on_hour, "cme": cme,
+        "plasma_a": kind("click", density=v / 10, speed=300 + 5 * v, temperature=v), "plasma_b": kind("view", density=v / 9, speed=310 + 5 * v, temperature=v),
+        "field_a": kind("signup", bx_gsm=v - 50, by_gsm=50 - v, bz_gsm=v - 40, bt=v), "field_b": kind("purchase", bx=v - 50, by=50 - v, bz=v - 40, bt=v),
+    }
+
+
+@query("design_matrix")
+def design_matrix(spark, sf_dir):
+    """All feeds from raw rows to split features, merged with the labels."""
+    plan = S.Plan(WINDOWS, chunk="10d", ssn_rows=(24, 48), ssn_hours=48, ssn_trend_rows=24)
+    raw = _feeds(spark, sf_dir)
+    features = {
+        "dst": S.dst_stage(raw["dst"], plan), "kp": S.kp_stage(raw["kp"], plan), "sunspot": S.sunspot_stage(raw["sunspot"], plan),
+        "radio_flux": S.flux_stage(raw["flux"], plan), "cme": S.cme_stage(raw["cme"], plan),
+        "imf_solar_wind": S.field_stage(raw["plasma_a"], raw["plasma_b"], raw["field_a"], raw["field_b"], plan),
+    }
+    return S.labelled(S.design_matrix(features, plan), S.label_stage(raw["dst"], raw["kp"], plan), plan)
+
+
 @query("score_splits")
 def score_splits(spark, sf_dir):
     df = _materialised(spark, sf_dir)

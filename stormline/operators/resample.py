@@ -81,11 +81,19 @@ def resample_sum_zero(df: DataFrame, cols: Sequence[str], **where) -> DataFrame:
 def resample_last(
     df: DataFrame, cols: Sequence[str], *, keys: Sequence[str], ts: str, step: Span = "1h", chunk: Span = "30d"
 ) -> DataFrame:
-    """Forward-filled bins: each bin start takes the last row at or before it, NULLs in that row included."""
-    times = grid(time_bounds(df, keys=keys, ts=ts, step=step), keys=keys, ts=ts, step=step).withColumn("_side", F.lit(1))
-    rows = df.select(*keys, F.col(ts).cast("timestamp").alias(ts), F.lit(0).alias("_side"), F.struct(*cols).alias("_row"))
-    both = times.unionByName(rows, allowMissingColumns=True)
-    held = carry(both, keys=keys, ts=ts, forward={"_held": "_row"}, chunk=chunk, order=["_side"])
+    """Forward-filled bins: each bin start takes the last row at or before it, NULLs in that row included.
+
+    A bin start can only see the last row of the step before it, so rows are first reduced to one per
+    step (combined on the map side); the grid and the carry work on that.
+    """
+    last = df.groupBy(*keys, ceil_time(ts, step).alias("_bin")).agg(
+        F.max_by(F.struct(*cols), F.col(ts)).alias("_row"), F.min(ts).alias("lo"), F.max(ts).alias("hi")
+    )
+    ends = last.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo IS NOT NULL")
+    ends = ends.select(*keys, floor_time("lo", step).alias("lo"), floor_time("hi", step).alias("hi"))
+    times = grid(ends, keys=keys, ts=ts, step=step).withColumn("_side", F.lit(1))
+    rows = last.select(*keys, F.col("_bin").alias(ts), F.lit(0).alias("_side"), "_row")
+    held = carry(times.unionByName(rows, allowMissingColumns=True), keys=keys, ts=ts, forward={"_held": "_row"}, chunk=chunk, order=["_side"])
     return held.filter("_side = 1").select(*keys, ts, *[F.col(f"_held.{c}").alias(c) for c in cols])
 
 
