@@ -19,6 +19,7 @@ from stormline.operators.events import greedy_spacing, hazard_labels, storm_onse
 from stormline.operators.joins import join_labels, merge_features, outer_join_hour
 from stormline.operators.resample import resample_last, resample_mean
 from stormline.operators.segments import drop_long_missing
+from stormline.operators.sets import latest_n
 from stormline.operators.upsert import combine_priority
 from stormline.session import materialise
 
@@ -176,3 +177,9 @@ def forecast(matrix: DataFrame, by: Forecaster, plan: Plan) -> DataFrame:
         )
         long = p if long is None else long.unionByName(p)
     return M.combine(long, list(by.models), on=[*plan.keys, plan.ts])
+
+
+def forecast_latest(matrix: DataFrame, by: Forecaster, plan: Plan, stored: DataFrame | None = None, rows: int = 720) -> DataFrame:
+    """Forecast the newest rows; a time that was forecast before replaces its stored row."""
+    new = forecast(latest_n(matrix, rows, [plan.ts]), by, plan)
+    return new if stored is None else M.append_predictions(stored, new, [*plan.keys, plan.ts])

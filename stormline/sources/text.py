@@ -140,30 +140,50 @@ def parse_json_series(docs: DataFrame, payload: str, time_names: Sequence[str],
     Names match in any letter case; the first of `time_names` present is the time.  Rows without a
     time drop out, numbers that do not parse are NULL.
     """
-    names = F.array(*[F.lit(n) for n in (*time_names, *cols)])
+    names = [*time_names, *cols]
     text = F.col(payload)
-    rows = F.from_json(text, "array<array<string>>")
-    heads = F.transform(F.get(rows, F.lit(0)), lambda h: F.lower(h))
-    objects = F.from_json(text, "array<map<string,string>>")
-    lists = F.from_json(text, "map<string,array<string>>")
-
-    def lower_keys(m: Column) -> Column:
-        return F.transform_keys(m, lambda k, _: F.lower(k))
-
-    table = F.transform(
-        F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
-        lambda r: F.transform(names, lambda n: F.get(r, F.nullif(F.array_position(heads, n), F.lit(0)).cast("int") - 1)),
-    )
-    objected = F.transform(objects, lambda m: F.transform(names, lambda n: F.try_element_at(lower_keys(m), n)))
-    columns = F.transform(names, lambda n: F.try_element_at(lower_keys(lists), n))
-    length = F.array_max(F.transform(columns, lambda c: F.coalesce(F.size(c), F.lit(0))))
-    listed = F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.transform(columns, lambda c: F.get(c, i))))
-    kind = F.when(F.ltrim(text).startswith("{"), listed).when(text.rlike(r"^\s*\[\s*\["), table).otherwise(objected)
-    r = F.col("_r")
-    found = docs.select(*keep, F.explode(kind).alias("_r"))
-    time = F.coalesce(*[F.get(r, F.lit(i)) for i in range(len(time_names))])
-    return found.select(
+    kind = F.when(F.ltrim(text).startswith("{"), "lists").when(text.rlike(r"^\s*\[\s*\["), "table").otherwise("objects")
+    # each document is read once, in its own form; later steps work on the parsed columns
+    parsed = docs.select(*keep, text.alias("_doc"), kind.alias("_kind")).select(
         *keep,
-        F.try_to_timestamp(time).alias("time_tag"),
-        *[F.get(r, F.lit(len(time_names) + i)).try_cast("double").alias(c) for i, c in enumerate(cols)],
-    ).filter("time_tag IS NOT NULL")
+        "_kind",
+        F.when(F.col("_kind") == "table", F.from_json("_doc", "array<array<string>>")).alias("_table"),
+        F.when(F.col("_kind") == "objects", F.from_json("_doc", "array<map<string,string>>")).alias("_objects"),
+        F.when(F.col("_kind") == "lists", F.from_json("_doc", "map<string,array<string>>")).alias("_lists"),
+    )
+    parsed = parsed.withColumns({
+        "_heads": F.transform(F.get("_table", F.lit(0)), lambda h: F.lower(h)),
+        "_lists": F.transform_keys("_lists", lambda k, _: F.lower(k)),
+    })
+    # where each wanted name stands in a row (0: nowhere)
+    placed = {f"_at{i}": F.coalesce(F.array_position("_heads", n), F.lit(0)).cast("int") for i, n in enumerate(names)}
+    parsed = parsed.withColumns({**placed, "_columns": F.array(*[F.try_element_at("_lists", F.lit(n)) for n in names])})
+    height = F.array_max(F.transform("_columns", lambda c: F.coalesce(F.size(c), F.lit(0))))
+    no_map, no_array = F.lit(None).cast("map<string,string>"), F.lit(None).cast("array<string>")
+    rows = (
+        F.when(F.col("_kind") == "table", F.transform(F.slice("_table", F.lit(2), F.size("_table")), lambda r: F.struct(r.alias("a"), no_map.alias("m"))))
+        .when(
+            F.col("_kind") == "objects",
+            F.transform("_objects", lambda m: F.struct(no_array.alias("a"), F.transform_keys(m, lambda k, _: F.lower(k)).alias("m"))),
+        )
+        .when(
+            height > 0,
+            F.transform(
+                F.sequence(F.lit(0), height - 1),
+                lambda i: F.struct(F.transform("_columns", lambda c: F.get(c, i)).alias("a"), no_map.alias("m")),
+            ),
+        )
+    )
+    spread = parsed.select(*keep, "_kind", *placed, F.explode(rows).alias("_r"))
+
+    def cell(i: int) -> Column:
+        in_table = F.when(F.col(f"_at{i}") > 0, F.get("_r.a", F.col(f"_at{i}") - 1))
+        return (
+            F.when(F.col("_kind") == "table", in_table)
+            .when(F.col("_kind") == "lists", F.get("_r.a", F.lit(i)))
+            .otherwise(F.try_element_at("_r.m", F.lit(names[i])))
+        )
+
+    time = F.coalesce(*[cell(i) for i in range(len(time_names))])
+    values = [cell(len(time_names) + i).try_cast("double").alias(c) for i, c in enumerate(cols)]
+    return spread.select(*keep, F.try_to_timestamp(time).alias("time_tag"), *values).filter("time_tag IS NOT NULL")

@@ -108,3 +108,9 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
 def read_upserts(spark, path: str, keys: Sequence[str]) -> DataFrame:
     """The table's current rows: per key the row of the latest batch."""
     return dedupe_last(spark.read.option("basePath", path).parquet(path), keys, ["batch"]).drop("batch")
+
+
+def compact_upserts(spark, path: str, target: str, keys: Sequence[str]) -> None:
+    """Fold a table's batch folders into a single one below `target`, numbered like the last of them."""
+    newest = spark.read.option("basePath", path).parquet(path).agg(F.max("batch")).head()[0]
+    read_upserts(spark, path, keys).write.mode("overwrite").parquet(f"{target}/batch={newest:012d}")
