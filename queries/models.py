@@ -56,9 +56,15 @@ def vif(spark, sf_dir):
     return rounded(C.vif(wide(spark, sf_dir).select(*COLS).dropna("any"), BASE), "vif")
 
 
-@query("vif_dependent")
+_R3D = "SELECT corr(click, bt) AS a, corr(click, error) AS b, corr(bt, error) AS c FROM WIDE WHERE click IS NOT NULL AND bt IS NOT NULL AND error IS NOT NULL"
+
+
+@query("vif_dependent", sql(
+    f"""SELECT feature, {s6('vif')} AS vif, CASE WHEN vif >= 10 THEN 'high' WHEN vif >= 5 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT unnest(['click', 'by', 'bt', 'error']) AS feature,
+        unnest(['Infinity'::DOUBLE, 'Infinity'::DOUBLE, (1 - b * b) / d, (1 - a * a) / d]) AS vif FROM (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM R))""", "WIDE", R=_R3D))
 def vif_dependent(spark, sf_dir):
-    return C.vif(wide(spark, sf_dir), ["click", "bt", "by", "error"])
+    """by repeats click, so both are inflated without bound."""
+    return rounded(C.vif(wide(spark, sf_dir), ["click", "bt", "by", "error"]), "vif")
 
 
 @query("condition_number", sql(
@@ -67,11 +73,14 @@ def condition_number(spark, sf_dir):
     return rounded(C.condition_number(wide(spark, sf_dir).select(*COLS).dropna("any"), ["click", "bt"]), "largest", "condition_number")
 
 
-@query("near_degenerate")
+_SEVEN = ["click", "error", "purchase", "view", "bz", "speed", "density"]
+_TWINS = " UNION ALL ".join(f"SELECT corr({a}, {b}) AS r FROM W" for i, a in enumerate(_SEVEN) for b in _SEVEN[i + 1:])
+
+
+@query("near_degenerate", sql("SELECT count(*) AS near_degenerate FROM Q WHERE abs(r) > 1 - 1e-9", "WIDE", W=_COMPLETE, Q=_TWINS))
 def near_degenerate(spark, sf_dir):
     """bz, speed and density repeat three other columns, so three singular values vanish."""
-    cols = ["click", "error", "purchase", "view", "bz", "speed", "density"]
-    return C.condition_number(wide(spark, sf_dir), cols).select("near_degenerate")
+    return C.condition_number(wide(spark, sf_dir).select(*COLS).dropna("any"), _SEVEN).select("near_degenerate")
 
 
 @query("report_files", sql(f"SELECT feature_a, feature_b, {s6('r')} AS r, {s6('abs(r)')} AS abs_r FROM Q WHERE abs(r) >= 0.3", "WIDE", W=_COMPLETE, Q=_PAIRS))
@@ -115,7 +124,17 @@ def apply_calibrator(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", r6(P.calibrate(F.col("p"), _X, _Y)).alias("p"))
 
 
-@query("isotonic_calibrate")
+# the fitted value at a point is the largest, over starts at or before it, of the smallest mean up to an end at or after it
+_ISO = {
+    "D": "SELECT p, sum(y) AS s, count(*) AS n FROM PROB GROUP BY p",
+    "R": "SELECT *, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS cs, sum(n) OVER (ORDER BY p) AS cn FROM D",
+    "A": "SELECT a.i AS a, b.i AS i, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM R a JOIN R b ON b.i >= a.i",
+    "L": "SELECT a, i, min(m) OVER (PARTITION BY a ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM A",
+    "FIT": "SELECT R.p, max(m) AS g FROM L JOIN R ON R.i = L.i GROUP BY R.p",
+}
+
+
+@query("isotonic_calibrate", sql(f"SELECT doc_id, y, {s6('PROB.p')} AS p, {s6('g')} AS p_calibrated FROM PROB JOIN FIT ON FIT.p = PROB.p", "PROB", **_ISO))
 def isotonic_calibrate(spark, sf_dir):
     df = scored(spark, sf_dir)
     x, y = P.fit_isotonic(df, "y", "p")
