@@ -119,32 +119,32 @@ def ssn_windows(spark, sf_dir):
     return _out(D.ssn_windows(df, keys=[], ts="ts", chunk="810d", trend_rows=54, min_periods=41))
 
 
-_FLUX_GRID = """SELECT c, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM FX GROUP BY c"""
-_FX = "SELECT o_orderpriority AS c, o_orderdate AS ts, max(o_totalprice) / 1000 AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1, 2"
-_FH = "SELECT c, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY c ORDER BY ts) AS v FROM FG LEFT JOIN FX USING (c, ts)"
-_PC = "PARTITION BY c"
-_FF = f"""SELECT c, ts, coalesce(v, 0) AS f107, coalesce(ln(CASE WHEN v < 1e-6 THEN 1e-6 ELSE v END), 0) AS log_f107, coalesce(v - lag(v, 24) OVER ({_PC} ORDER BY ts), 0) AS df107_24h,
-    coalesce(v - {need('avg(v)', 'v', rows(648, _PC), 24)}, 0) AS f107_anomaly_27d FROM FH"""
+_FLUX = {
+    "FX": "SELECT o_orderdate AS ts, max(o_totalprice) / 1000 AS v FROM orders GROUP BY 1",
+    "FG": "SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM FX",
+    "FH": "SELECT ts, last_value(v IGNORE NULLS) OVER (ORDER BY ts) AS v FROM FG LEFT JOIN FX USING (ts)",
+    "FF": f"""SELECT ts, coalesce(v, 0) AS f107, coalesce(ln(CASE WHEN v < 1e-6 THEN 1e-6 ELSE v END), 0) AS log_f107, coalesce(v - lag(v, 24) {_O}, 0) AS df107_24h,
+        coalesce(v - {need('avg(v)', 'v', rows(648), 24)}, 0) AS f107_anomaly_27d FROM FH""",
+}
 
 
 def _flux(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    daily_peak = o.groupBy(F.col("o_orderpriority").alias("c"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-    return D.flux_features(daily_peak.agg((F.max("o_totalprice") / 1000).alias("adjusted_flux")), keys=["c"], ts="ts", chunk="60d")
+    daily_peak = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return D.flux_features(daily_peak.agg((F.max("o_totalprice") / 1000).alias("adjusted_flux")), keys=[], ts="ts", chunk="270d")
 
 
-@query("flux_features", sql(f"SELECT c, ts, {listed('f107', 'log_f107', 'df107_24h', 'f107_anomaly_27d')} FROM FF", FX=_FX, FG=_FLUX_GRID, FH=_FH, FF=_FF))
+@query("flux_features", sql(f"SELECT ts, {listed('f107', 'log_f107', 'df107_24h', 'f107_anomaly_27d')} FROM FF", **_FLUX))
 def flux_features(spark, sf_dir):
     return _out(_flux(spark, sf_dir))
 
 
 @query("flux_windows", sql(
-    f"""SELECT c, ts, {listed('f107', 'log_f107', 'df107_24h', 'f107_anomaly_27d', 'f107_mean_24h', 'f107_delta_24h', 'f107_std_72h', 'log_f107_mean_24h', 'f107_anomaly_72h')} FROM (SELECT *,
-        {need('avg(f107)', 'f107', last(24, _PC), 12)} AS f107_mean_24h, f107 - lag(f107, 24) OVER ({_PC} ORDER BY ts) AS f107_delta_24h, {need('stddev_pop(f107)', 'f107', last(72, _PC), 36)} AS f107_std_72h,
-        {need('avg(log_f107)', 'log_f107', last(24, _PC), 12)} AS log_f107_mean_24h, f107 - {need('avg(f107)', 'f107', last(72, _PC), 36)} AS f107_anomaly_72h FROM FF)
-        WHERE f107_mean_24h IS NOT NULL AND f107_delta_24h IS NOT NULL AND f107_std_72h IS NOT NULL""", FX=_FX, FG=_FLUX_GRID, FH=_FH, FF=_FF))
+    f"""SELECT ts, {listed('f107', 'log_f107', 'df107_24h', 'f107_anomaly_27d', 'f107_mean_24h', 'f107_delta_24h', 'f107_std_72h', 'log_f107_mean_24h', 'f107_anomaly_72h')} FROM (SELECT *,
+        {need('avg(f107)', 'f107', last(24), 12)} AS f107_mean_24h, f107 - lag(f107, 24) {_O} AS f107_delta_24h, {need('stddev_pop(f107)', 'f107', last(72), 36)} AS f107_std_72h,
+        {need('avg(log_f107)', 'log_f107', last(24), 12)} AS log_f107_mean_24h, f107 - {need('avg(f107)', 'f107', last(72), 36)} AS f107_anomaly_72h FROM FF)
+        WHERE f107_mean_24h IS NOT NULL AND f107_delta_24h IS NOT NULL AND f107_std_72h IS NOT NULL""", **_FLUX))
 def flux_windows(spark, sf_dir):
-    return _out(D.flux_windows(_flux(spark, sf_dir), keys=["c"], ts="ts", chunk="60d"))
+    return _out(D.flux_windows(_flux(spark, sf_dir), keys=[], ts="ts", chunk="90d"))
 
 
 _XR = "SELECT a.ts, a.v * 1e-7 AS a, b.v * 1e-6 AS b FROM FEED_A a JOIN FEED_B b USING (ts)"

@@ -41,9 +41,9 @@ def merge_features(spark, sf_dir):
 
 
 @query("join_labels", sql(
-    f"SELECT h.k, h.ts, {s6('h.v')} AS v, y FROM H h JOIN (SELECT event_type AS k, date_trunc('hour', ts) AS ts, CAST(max(value) > 90 AS INTEGER) AS y FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2) l ON l.k = h.k AND l.ts = h.ts", "H"))
+    f"SELECT h.k, h.ts, {s6('h.v')} AS v, y FROM H h JOIN (SELECT event_type AS k, date_trunc('hour', ts) AS ts, CAST(max(value) > 90 AS INTEGER) AS y FROM events WHERE value >= 50 GROUP BY 1, 2) l ON l.k = h.k AND l.ts = h.ts", "H"))
 def join_labels(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("event_id % 2 = 0")
+    events = table(spark, sf_dir, "events").filter("value >= 50")
     late = events.select(F.col("event_type").alias("k"), (F.date_trunc("hour", "ts") + F.expr("INTERVAL 7 MINUTES")).alias("ts"), "value")
     labels = late.groupBy("k", "ts").agg((F.max("value") > 90).cast("int").alias("y"))
     return J.join_labels(rounded(hourly(spark, sf_dir).drop("n"), "v"), labels, keys=["k"], ts="ts", floor="hour")
@@ -147,13 +147,13 @@ def intervals(spark, sf_dir):
     return interval_labels(gridded(spark, sf_dir).select("k", "ts"), onsets, keys=["k"], ts="ts", onset="o")
 
 
-_LONG = "SELECT ts, h, 1.0 / (1 + exp((60 - v + h) / 10)) AS p FROM (SELECT i, ts, v FROM G WHERE k = 'click' AND v IS NOT NULL), (SELECT unnest(range(1, 9)) AS h) WHERE (i + h) % 5 <> 0"
+_LONG = "SELECT ts, h, 1.0 / (1 + exp((60 - v + h) / 10)) AS p FROM (SELECT i, ts, v FROM G WHERE k = 'click' AND v IS NOT NULL), (SELECT unnest(range(1, 9)) AS h) WHERE v > 5 * h"
 _HS = range(1, 9)
 
 
 def _long(spark, sf_dir):
     g = gridded(spark, sf_dir).filter("k = 'click' AND v IS NOT NULL")
-    spread = g.withColumn("h", F.explode(F.array(*[F.lit(h) for h in _HS]))).filter("(i + h) % 5 <> 0")
+    spread = g.withColumn("h", F.explode(F.array(*[F.lit(h) for h in _HS]))).filter("v > 5 * h")
     return spread.select("ts", "h", (1.0 / (1 + F.exp((60 - F.col("v") + F.col("h")) / 10))).alias("p"))
 
 

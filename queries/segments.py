@@ -48,14 +48,14 @@ def local_peaks(spark, sf_dir):
     return rounded(S.local_peaks(coarse, "v", height=50.0, **KEYED), "v")
 
 
-@query("missing_ranges", """WITH K AS (SELECT DISTINCT o_custkey AS c FROM orders), P AS (SELECT DISTINCT o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders),
-    X AS (SELECT c, CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS d FROM K),
+@query("missing_ranges", """WITH P AS (SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+    X AS (SELECT s, p, CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT s, p FROM P)),
     M AS (SELECT * FROM X EXCEPT SELECT * FROM P)
-    SELECT c, min(d) AS start, max(d) AS "end" FROM (SELECT c, d, d - CAST(row_number() OVER (PARTITION BY c ORDER BY d) AS INTEGER) AS g FROM M) GROUP BY c, g""")
+    SELECT s, p, min(d) AS start, max(d) AS "end" FROM (SELECT s, p, d, d - CAST(row_number() OVER (PARTITION BY s, p ORDER BY d) AS INTEGER) AS g FROM M) GROUP BY s, p, g""")
 def missing_ranges(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("d"))
-    days = F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))).alias("d")
-    return S.missing_ranges(o.select("c").distinct().select("c", days), o, "d", keys=["c"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.to_date("o_orderdate").alias("d"))
+    days = F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-08-01").cast("date"))).alias("d")
+    return S.missing_ranges(o.select("s", "p").distinct().select("s", "p", days), o, "d", keys=["s", "p"], chunk_days=365)
 
 
 _PN = """SELECT k, ts, i, v, max(i) FILTER (v IS NOT NULL) OVER (PARTITION BY k ORDER BY ts) AS pi, min(i) FILTER (v IS NOT NULL) OVER (PARTITION BY k ORDER BY ts DESC) AS ni,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stormline.operators import events as E
 
-CHUNKS = ["5h", "2d", "400d"]
+CHUNKS = ["5h", "400d"]
 
 
 def times(seed, n=80, hours=400):

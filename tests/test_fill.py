@@ -10,7 +10,7 @@ from stormline.operators import quality as Q
 from stormline.operators.fill import asof_join, bfill, exact_then_ffill, ffill, interpolate_both
 from stormline.operators.resample import grouped_median, resample_last, resample_mean
 
-CHUNKS = ["5h", "2d", "400d"]
+CHUNKS = ["5h", "400d"]
 
 
 def per_key(pdf, fn):

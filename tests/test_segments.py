@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stormline.operators import segments as S
 
-CHUNKS = ["4h", "2d", "400d"]
+CHUNKS = ["9h", "400d"]
 
 
 def coarse(seed, irregular=False, step=40):

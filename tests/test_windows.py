@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stormline.operators import rolling as R
 from stormline.operators.chunks import balanced_chunk, positions
 
-CHUNKS = ["7h", "2d", "400d"]
+CHUNKS = ["7h", "400d"]
 
 
 def by_key(pdf, fn):
