@@ -40,7 +40,7 @@ def corr_pairs(spark, sf_dir):
     return rounded(C.corr_pairs(wide(spark, sf_dir), COLS, 0.3), "r", "abs_r")
 
 
-@query("top_pairs", sql(f"SELECT feature_a, feature_b, {s6('abs(r)')} AS abs_r FROM Q ORDER BY round(abs(r), 6) DESC, feature_a, feature_b LIMIT 5", "WIDE", W=_COMPLETE, Q=_PAIRS))
+@query("top_pairs", sql(f"SELECT feature_a, feature_b, {s6('abs(r)')} AS abs_r FROM Q WHERE r IS NOT NULL ORDER BY round(abs(r), 6) DESC, feature_a, feature_b LIMIT 5", "WIDE", W=_COMPLETE, Q=_PAIRS))
 def top_pairs(spark, sf_dir):
     pairs = rounded(C.corr_pairs(wide(spark, sf_dir), COLS, 0.0), "abs_r")
     return pairs.orderBy(F.desc("abs_r"), "feature_a", "feature_b").limit(5).select("feature_a", "feature_b", "abs_r")
