@@ -8,9 +8,8 @@ from stormline.functions.lookup import KP_TO_AP, kp_to_ap
 from stormline.operators import events as E
 from stormline.operators.segments import prominent_peaks
 
-from .fixtures import dst, gridded, hourly, kp, rounded, table
+from .fixtures import dst, gridded, hourly, kp, table
 from .registry import query
-from .registry import r6 as s6
 from .registry import sql
 
 ONE = {"keys": [], "ts": "ts", "chunk": "5d"}
