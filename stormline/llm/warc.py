@@ -158,7 +158,7 @@ def write(
                 page_id, url, payload, refers_to = page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py()
                 if writer is None:
                     path, entries = f"{root}/{uuid.uuid4().hex}.warc.zst", []
-                    writer = BundleWriter(store.open_output_stream(path), frame_bytes)
+                    writer = BundleWriter(store.open_output_stream(path, compression=None), frame_bytes)
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 data = record(page_id, url, payload, digest, refers_to, refers_to is not None)
                 entries.append((page_id, *writer.add(data), len(data)))
