@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import exact_dedup, packing, simhash, url_filter, warc
+from . import decontam, exact_dedup, line_dedup, packing, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +63,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+@query("op2_line_dedup", """
+WITH own AS (SELECT doc_id, md5(coalesce(text, '')) AS th, text FROM documents),
+lines AS (
+  SELECT doc_id, th, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM (SELECT DISTINCT * FROM own)),
+weighed AS (SELECT *, len(regexp_split_to_array(trim(line), ' +')) AS words FROM lines WHERE trim(line) <> ''),
+placed AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id, th ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM weighed),
+runs AS (
+  SELECT doc_id, th, pos, max(pos) OVER r AS last, sum(words) OVER r AS total, list(line) OVER r AS run
+  FROM placed WINDOW r AS (PARTITION BY doc_id, th ORDER BY before RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+later AS (
+  SELECT doc_id, th, pos, last FROM runs WHERE total >= 30 QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, th, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, th, unnest(range(pos, last + 1)) AS pos FROM later),
+cut AS (
+  SELECT l.doc_id, l.th, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.th = l.th AND g.pos = l.pos GROUP BY ALL)
+SELECT own.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, cut.text FROM own LEFT JOIN cut ON cut.doc_id = own.doc_id AND cut.th = own.th
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query("op3_warc", r"""
 WITH own AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
@@ -70,7 +92,7 @@ WITH own AS (
   FROM pages)
 SELECT page_id, payload_bytes,
        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         1 + (CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31, 1)), 'string_agg', '') AS payload_digest,
+         1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < last THEN last END AS refers_to
 FROM own
@@ -85,6 +107,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
