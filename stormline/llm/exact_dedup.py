@@ -4,7 +4,8 @@ A group of documents is split by its next digit: the following bytes of the text
 are done, so are groups whose texts have ended, and only the rest go on. Digits widen from round to round
 (32 bytes, 512, 8192, ...), so a text of n bytes takes O(log n) rounds. The first digit also holds the length,
 so all texts of a group end together. A round counts each digit's documents before the shuffle, so a group of
-any number of copies sends one row per task; the counts are written out and joined to the documents.
+any number of copies sends one row per task; the counts are written out and joined to the documents, always by
+sorting, so that the plan and its shuffle keep their shape as the data grows.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         same = groups.select(F.col("gid").alias("g"), F.col("size").alias("s"), F.col("digit").alias("d"), "n", "keep", "next")
         met = (F.col("gid").eqNullSafe(F.col("g"))) & (F.col("size") == F.col("s")) & (digit == F.col("d"))
         out = materialise(
-            keyed.join(same, met, "left").select(
+            keyed.join(same.hint("merge"), met, "left").select(
                 "id", F.col("next").alias("gid"), "size", "sha", F.coalesce("n", F.lit(1)).alias("n"),
                 F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
                 F.when(F.col("n").isNotNull() & (F.col("size") >= at + width), F.col("body")).alias("body"),
