@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, exact_dedup, line_dedup, packing, simhash, suffix_dedup, url_filter, warc
+from . import decontam, exact_dedup, langid, line_dedup, packing, quality, simhash, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,6 +101,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
+    model = langid.learn(docs.filter(~held))
+    return langid.identify(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), size=50)
@@ -108,6 +116,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(langid.fold("doc_id", 3) == 1, F.lit(False))
+    model = quality.learn(docs, table(spark, sf_dir, "labels").filter(~held))
+    return quality.score(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, radius=4)

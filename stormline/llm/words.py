@@ -23,7 +23,8 @@ _powers: dict[int, np.ndarray] = {}
 
 @dataclass
 class Words:
-    text: np.ndarray  # lower-cased bytes of all documents, one behind another
+    raw: np.ndarray  # bytes of all documents, one behind another
+    text: np.ndarray  # the same, lower-cased
     start: np.ndarray  # of each word, in text
     end: np.ndarray
     doc: np.ndarray  # row of each word
@@ -74,7 +75,7 @@ def words(column: pa.Array) -> Words:
     start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
     doc = np.searchsorted(ends[1:], start, side="right")
     first = np.searchsorted(start, ends)
-    return Words(lowered(data), start, end, doc, first)
+    return Words(data, lowered(data), start, end, doc, first)
 
 
 def joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
