@@ -9,10 +9,10 @@ each task packs in runs of `run_pieces` pieces, which bounds its memory; only th
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from ..session import materialise
 
 LIMIT, END_ID = 1024, 0
 RUN_PIECES = 200_000
-CACHE_WORDS = 250_000
-_PAIR = re.compile(r"\s\s")
+CACHE_WORDS = 400_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Capacities:
@@ -77,42 +77,76 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.nda
 
 
 class Encoder:
-    """Token ids of whole texts. Where no two white-space characters meet, the pattern of the byte-level BPE cuts
-    before each space, so the text is encoded by its space-separated parts, and those are remembered."""
-
-    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
-        import tiktoken
-
-        if path.endswith(".tiktoken"):
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self.encode: Callable[[str], list[int]] = encoding.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
+    """Token ids of whole texts by a byte-level BPE.
+
+    The pattern of such a tokenizer cuts before a space between two other characters and behind a run of letters. So
+    where no two white-space characters meet, a text is encoded by its space-separated parts and each part by its
+    leading word and its tail; words are remembered. Other texts go through the tokenizer as a whole.
+    """
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, fixed values
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a run of letters."""
+        spelt = (" " + word).encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(self.words) >= self.cache_words:
+            self.words.clear()
+        if len(word) <= 40:
+            self.words[word] = ids
+        return ids
+
     def _part(self, part: str) -> bytes:
-        ids = self.cache.get(part)
+        """Ids of a space and a part without one."""
+        if part.isalpha():
+            return self._word(part)
+        word, last = part[:-1], part[-1:]
+        if not last or last.isspace() or part[0].isspace():
+            raise _Meeting
+        if word.isalpha():
+            return (self.words.get(word) or self._word(word)) + (self.tails.get(last) or self._tail(last))
+        run = _LETTERS.match(part)
+        if run is None or not (word := run.group()).isalpha():
+            return self._tail(" " + part)
+        return (self.words.get(word) or self._word(word)) + self._tail(part[len(word) :])
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.tails.get(tail)
         if ids is None:
-            ids = np.array(self.encode(part), dtype="<u4").tobytes()
-            if len(part) <= 40:
-                if len(self.cache) >= self.cache_words:
-                    self.cache.clear()
-                self.cache[part] = ids
+            ids = self.whole(tail)
+            if len(tail) <= 40:
+                if len(self.tails) >= self.cache_words // 4:
+                    self.tails.clear()
+                self.tails[tail] = ids
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
-        if _PAIR.search(text):
-            return np.array(self.encode(text), dtype="<u4")
         head, *rest = text.split(" ")
-        get, part = self.cache.get, self._part
-        return np.frombuffer(part(head) + b"".join([get(x) or part(x) for x in [" " + r for r in rest]]), dtype="<u4")
+        get, part = self.words.get, self._part
+        try:
+            if rest and head[-1:].isspace():
+                raise _Meeting
+            ids = self._tail(head) + b"".join([get(x) or part(x) for x in rest])
+        except _Meeting:
+            ids = self.whole(text)
+        return np.frombuffer(ids, dtype="<u4")
+
+
+class _Meeting(Exception):
+    """Two white-space characters meet, or one ends the text."""
 
 
 def cut(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -120,7 +154,7 @@ def cut(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return [(at, min(limit, n - at)) for at in range(0, n, limit)]
 
 
-def pieces(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
     """(id_col, row, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document, before packing.
 
     `row` tells rows apart that share an id. The tokenizer's files are read where the tasks run, from `path`.
@@ -129,7 +163,7 @@ def pieces(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
     schema = f"`{id_col}` {kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, pattern)
+        encode = Encoder(path)
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -184,11 +218,11 @@ def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES)
     return dealt.mapInArrow(run, schema).select(*names, "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
     Null texts are empty; with an end id they still hold that one token. Rows that share an id are packed each on
     its own. Other columns are ignored. Sequences hold at most `limit` tokens, their offsets leave no gap.
     """
-    parts = materialise(pieces(docs, path=path, pattern=pattern, id_col=id_col, text_col=text_col, limit=limit, end_id=end_id, ids=ids))
+    parts = materialise(pieces(docs, path=path, id_col=id_col, text_col=text_col, limit=limit, end_id=end_id, ids=ids))
     return place(parts, limit=limit).drop("row")

@@ -41,7 +41,7 @@ def query(name: str, text: str | None = None):
 def tokenizer() -> dict[str, str]:
     import public_tokenizers
 
-    return {"path": public_tokenizers.path("byte_bpe_50k.json"), "pattern": public_tokenizers.PATTERN}
+    return {"path": public_tokenizers.path("byte_bpe_50k.json")}
 
 
 @query("op1_url_filter", r"""
