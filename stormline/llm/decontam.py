@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,15 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def item_blocks(items: DataFrame, item_col: str, text_col: str, k: int, similarity: float, radius: int, blocks: int, block_items: int) -> Iterator[tuple[pa.Array, Items]]:
+    """The items in blocks of about `block_items` that are sent to the tasks one after another."""
+    held = materialise(items.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("body")))
+    parts = max(1, -(-held.count() // block_items))
+    for part in range(parts):
+        block = held.filter(F.pmod(F.xxhash64("item", "body"), F.lit(parts)) == part).orderBy("item", "body").toArrow()
+        yield block.column("item").combine_chunks(), Items(block.column("body").to_pylist(), k, similarity, radius, blocks)
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     k: int = K, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, block_items: int = BLOCK_ITEMS,
@@ -163,13 +173,9 @@ def contaminated(
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, start_word bigint, n_words bigint, similarity double"
-    held = materialise(items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("body")))
-    parts = max(1, -(-held.count() // block_items))
     texts = docs.select(id_col, F.col(text_col).alias("text"))
-    out = None
-    for part in range(parts):
-        block = held.filter(F.pmod(F.xxhash64("body"), F.lit(parts)) == part).orderBy("item", "body").toArrow()
-        names, index = block.column("item").combine_chunks(), Items(block.column("body").to_pylist(), k, similarity, radius, blocks)
+    found = []
+    for names, index in item_blocks(items, item_col, item_text_col, k, similarity, radius, blocks, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], names=names, index=index) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text"):
@@ -177,12 +183,28 @@ def contaminated(
                 if rows:
                     cols = list(zip(*rows))
                     ids = b.column(0).take(pa.array(cols[0], pa.int64()))
-                    found = names.take(pa.array(cols[1], pa.int64()))
+                    hits = names.take(pa.array(cols[1], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, found, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())],
+                        [ids, hits, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())],
                         names=[id_col, item_col, "start_word", "n_words", "similarity"],
                     )
 
-        one = texts.mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+        found.append(texts.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found)
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    k: int = K, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
+    """The rows of `docs`, unchanged, that have no window similar to an item; no shuffle."""
+    for _, index in item_blocks(items, item_col, item_text_col, k, similarity, radius, blocks, block_items):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text_col):
+                fine = np.ones(b.num_rows, bool)
+                fine[[row[0] for row in index.search(words(b.column(text_col)))]] = False
+                yield b.filter(pa.array(fine))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

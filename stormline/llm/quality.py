@@ -127,20 +127,34 @@ def learn(
     return np.frombuffer(model["weights"], np.float32), np.frombuffer(model["squares"], np.float32)
 
 
+def values(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    weights, squares = model
+    doc, feature = features(words(texts))
+    length = np.sqrt(np.bincount(doc, weights=squares[feature], minlength=len(texts)))
+    margin = np.bincount(doc, weights=weights[feature], minlength=len(texts)) / np.maximum(length, 1e-9) + weights[-1]
+    return 1.0 / (1.0 + np.exp(-SLOPE * margin))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted), one row per input row; only the text is read.
 
     A null, empty or wordless text has the score of the bias alone. predicted is 1 where score >= 0.5.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    weights, squares = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            doc, feature = features(words(b.column(1)))
-            length = np.sqrt(np.bincount(doc, weights=squares[feature], minlength=b.num_rows))
-            margin = np.bincount(doc, weights=weights[feature], minlength=b.num_rows) / np.maximum(length, 1e-9) + weights[-1]
-            value = 1.0 / (1.0 + np.exp(-SLOPE * margin))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
+            found = values(b.column(1), model)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, unchanged, whose score is at least 0.5; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            yield b.filter(pa.array(values(b.column(text_col), model) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
