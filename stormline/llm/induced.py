@@ -15,6 +15,7 @@ import tempfile
 
 import numpy as np
 
+BLOCK = 1 << 20
 ALPHABET, PER_WORD = 257, 7  # 0 separates strings, a byte b is b + 1; characters of 9 bits in a word of 63
 
 
@@ -85,19 +86,29 @@ def induced(text: np.ndarray, seeds: np.ndarray, store: Store) -> np.ndarray:
         for c in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
             queues[c].append(store.put(before[ends[c - 1] if c else 0 : ends[c]]))
 
+    def waiting(queue: list, at: int) -> tuple[np.ndarray, int]:
+        """The next blocks of a queue as one, up to about BLOCK suffixes."""
+        taken, n = [], 0
+        while at < len(queue) and n < BLOCK:
+            taken.append(store.get(queue[at]))
+            n += len(taken[-1])
+            at += 1
+        return (taken[0] if len(taken) == 1 else np.concatenate(taken)), at
+
     falling[int(text[-1])].append(store.put(np.array([n - 1], seeds.dtype)))
     for c in range(ALPHABET):
         at = 0
         while at < len(falling[c]):  # grows while it is read
-            push(falling, store.get(falling[c][at]), c, ALPHABET)
-            at += 1
-        push(falling, seeds[first[c] : first[c + 1]], c + 1, ALPHABET)
+            block, at = waiting(falling[c], at)
+            push(falling, block, c, ALPHABET)
+        if first[c] < first[c + 1]:
+            push(falling, seeds[first[c] : first[c + 1]], c + 1, ALPHABET)
     parts = []
     for c in reversed(range(ALPHABET)):
         at = 0
         while at < len(rising[c]):
-            push(rising, store.get(rising[c][at]), 0, c)
-            at += 1
+            block, at = waiting(rising[c], at)
+            push(rising, block, 0, c)
         own = [store.get(x) for x in falling[c]]
         for block in reversed(own):
             push(rising, block[::-1], 0, c - 1)

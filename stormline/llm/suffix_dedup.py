@@ -33,7 +33,7 @@ from ..session import materialise
 from .induced import match_groups, suffix_order
 from .words import BASE, mixed, offsets, slices, text_bytes
 
-SIZE, GRAM, CHUNK_BYTES, SHARD_BYTES = 50, 22, 2 << 20, 24 << 20
+SIZE, GRAM, CHUNK_BYTES, SHARD_BYTES = 50, 22, 2 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
