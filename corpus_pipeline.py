@@ -37,7 +37,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.near_duplicates(docs, k=NEAR_WORDS, radius=simhash.radius_for(NEAR_SIMILARITY), blocks=NEAR_BLOCKS)
     ids = materialise(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")))
-    kept = docs.join(materialise(ids.filter("doc_id <> component").select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+    copies = materialise(ids.filter("doc_id <> component").select("doc_id"))
+    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)  # one plan at every size
     if ids.filter("n > 1").isEmpty():
         return kept
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))

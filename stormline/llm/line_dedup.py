@@ -9,7 +9,8 @@ that stands at an earlier place too (smaller id, then position) is a repeated ru
 
 Lines and windows are compared by two 64-bit hashes with different seeds. Blank lines are no part of a run, but go
 with the run around them. Hot fingerprints and windows are counted and minimised before the shuffle, written, and
-joined as plain tables, so that adaptive execution can split them.
+joined as plain tables, so that adaptive execution can split them; always by sorting, so that the plan and its shuffle
+keep their shape as the data grow.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
     every = materialise(windows(rows, min_words))
     places = every.select("id", "th", "at", "a1", "a2").distinct()
     shared = materialise(places.groupBy("a1", "a2").count().filter("count > 1").select("a1", "a2"))
-    live = materialise(every.join(shared, ["a1", "a2"]).select("id", "th", "pos", "last", "k1", "k2"))
+    live = materialise(every.join(shared.hint("merge"), ["a1", "a2"]).select("id", "th", "pos", "last", "k1", "k2"))
     here = F.struct("id", "th", "pos")
     firsts = materialise(live.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    return live.join(firsts, ["k1", "k2"]).filter(~here.eqNullSafe(F.col("first"))).select("id", "th", "pos", "last")
+    return live.join(firsts.hint("merge"), ["k1", "k2"]).filter(~here.eqNullSafe(F.col("first"))).select("id", "th", "pos", "last")
 
 
 def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -72,7 +73,7 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         return F.flatten(F.transform(d, lambda x, i: F.concat(F.array_repeat(F.lit(False), gap(x, i)), F.array(F.lit(True)))))
 
     gone = materialise(gone.select(F.col("id").alias("i"), F.col("th").alias("t"), F.size("p").alias("n"), F.get(F.transform(F.array("p"), marks), F.lit(0)).alias("flags")))
-    out = rows.drop("text").join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+    out = rows.drop("text").join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
     own = F.col("row").getField(text_col)
     left = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.coalesce(F.get(F.col("flags"), i), F.lit(False))), "\n")
     kept = F.when(F.col("flags").isNull(), own).otherwise(left)

@@ -312,7 +312,7 @@ def repeated_bytes(
 
     none = F.array().cast("array<struct<shard:int,bits:binary>>")
     shared = answers(shared_labels(label_blocks(source, shards, size, gram))).withColumnRenamed("answers", "shared")
-    first = source.join(shared, "chunk", "left").select("chunk", "ids", "ends", "data", F.coalesce("shared", none).alias("shared"))
+    first = source.join(shared.hint("merge"), "chunk", "left").select("chunk", "ids", "ends", "data", F.coalesce("shared", none).alias("shared"))
     windows = answers(covered_windows(run_blocks(first, shards, size, gram), size, memory_bytes)).withColumnRenamed("answers", "windows")
-    both = first.join(windows, "chunk", "left").select("chunk", "ids", "ends", "data", "shared", F.coalesce("windows", none).alias("windows"))
+    both = first.join(windows.hint("merge"), "chunk", "left").select("chunk", "ids", "ends", "data", "shared", F.coalesce("windows", none).alias("windows"))
     return marked(both, shards, size, gram).withColumnRenamed("id", id_col)
