@@ -41,9 +41,9 @@ def merge_features(spark, sf_dir):
 
 
 @query("join_labels", sql(
-    f"SELECT h.k, h.ts, {s6('h.v')} AS v, y FROM H h JOIN (SELECT event_type AS k, date_trunc('hour', ts) AS ts, CAST(max(value) > 90 AS INTEGER) AS y FROM events WHERE value >= 50 GROUP BY 1, 2) l ON l.k = h.k AND l.ts = h.ts", "H"))
+    f"SELECT h.k, h.ts, {s6('h.v')} AS v, y FROM H h JOIN (SELECT event_type AS k, date_trunc('hour', ts) AS ts, CAST(max(value) > 90 AS INTEGER) AS y FROM events GROUP BY 1, 2) l ON l.k = h.k AND l.ts = h.ts", "H"))
 def join_labels(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("value >= 50")
+    events = table(spark, sf_dir, "events")
     late = events.select(F.col("event_type").alias("k"), (F.date_trunc("hour", "ts") + F.expr("INTERVAL 7 MINUTES")).alias("ts"), "value")
     labels = late.groupBy("k", "ts").agg((F.max("value") > 90).cast("int").alias("y"))
     return J.join_labels(rounded(hourly(spark, sf_dir).drop("n"), "v"), labels, keys=["k"], ts="ts", floor="hour")
@@ -166,9 +166,9 @@ def pivot_horizons(spark, sf_dir):
     return rounded(J.pivot_horizons(_long(spark, sf_dir), on=["ts"], horizon="h", value="p", horizons=_HS), *_PS)
 
 
-@query("merge_horizons_inner", sql(f"SELECT ts, {', '.join(f'{s6(p)} AS {p}' for p in _PS[:4])} FROM P WHERE {' AND '.join(f'{p} IS NOT NULL' for p in _PS[:4])}", "G", L=_LONG, P=_PIVOT))
+@query("merge_horizons_inner", sql(f"SELECT ts, {', '.join(f'{s6(p)} AS {p}' for p in _PS)} FROM P WHERE {' AND '.join(f'{p} IS NOT NULL' for p in _PS)}", "G", L=_LONG, P=_PIVOT))
 def merge_horizons_inner(spark, sf_dir):
-    return rounded(J.pivot_horizons(_long(spark, sf_dir), on=["ts"], horizon="h", value="p", horizons=range(1, 5), complete=True), *_PS[:4])
+    return rounded(J.pivot_horizons(_long(spark, sf_dir), on=["ts"], horizon="h", value="p", horizons=_HS, complete=True), *_PS)
 
 
 @query("cumulative_prob", sql(f"SELECT ts, {s6('1 - ' + ' * '.join(f'(1 - coalesce({p}, 0))' for p in _PS))} AS p_cumulative FROM P", "G", L=_LONG, P=_PIVOT))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stormline.operators.events import greedy_spacing, hazard_labels
+from stormline.operators import quality as Q
 from stormline.operators.quality import temporal_split
 from stormline.operators.segments import crossings
 from stormline.plans import collinearity as C
@@ -27,9 +28,9 @@ _COMPLETE = "SELECT * FROM WIDE WHERE " + " AND ".join(f"{c} IS NOT NULL" for c
 
 
 @query("standardize", sql(
-    "SELECT ts, " + ", ".join(s6(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()") + f" AS {c}" for c in BASE) + " FROM W", "WIDE", W=_COMPLETE))
+    "SELECT ts, " + ", ".join(s6(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()") + f" AS {c}" for c in COLS) + " FROM W", "WIDE", W=_COMPLETE))
 def standardize(spark, sf_dir):
-    return rounded(C.standardise(wide(spark, sf_dir).select("ts", *COLS).dropna("any"), BASE).select("ts", *BASE), *BASE)
+    return rounded(C.standardise(wide(spark, sf_dir).select("ts", *COLS).dropna("any"), COLS).select("ts", *COLS), *COLS)
 
 
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM W" for i, a in enumerate(COLS) for b in COLS[i + 1:])
@@ -141,16 +142,18 @@ def isotonic_calibrate(spark, sf_dir):
     return df.select("doc_id", "y", r6("p").alias("p"), r6(P.calibrate(F.col("p"), x, y)).alias("p_calibrated"))
 
 
+HORIZONS = range(1, 9)
 FEATURES = ["bz", "bx", "by", "speed", "density", "bt", "newell_dphi_dt", "ey", "dynamic_pressure", "delta_bz", "bz_min_6h", "newell_int_6h", "ey_mean_6h"]
 
 
 def design(spark, sf_dir):
     """Window features joined with onset labels and split by time."""
     one = {"keys": [], "ts": "ts", "chunk": "5d"}
-    features = D.imf_windows(D.imf_coupling(wide(spark, sf_dir), **one), **one)
+    repaired = Q.impute_gap_rule(wide(spark, sf_dir).select("ts", "bx", "by", "bz", "bt", "speed", "density"), ["bx", "by", "bz", "bt", "speed", "density"], **one)
+    features = D.imf_windows(D.imf_coupling(repaired, **one), **one)
     onsets = greedy_spacing(crossings(dst(spark, sf_dir), "dst", -30.0, **one).select("ts"), keys=[], ts="ts", chunk="5d")
     labels = hazard_labels(features.select("ts"), onsets.select(F.col("ts").alias("o")), keys=[], ts="ts", onset="o")
-    return temporal_split(features.join(labels, "ts"), "ts", WINDOWS).select("ts", "split", *FEATURES, "h_1", "h_2")
+    return temporal_split(features.join(labels, "ts"), "ts", WINDOWS).select("ts", "split", *FEATURES, *[f"h_{h}" for h in HORIZONS])
 
 
 def _materialised(spark, sf_dir):
@@ -159,16 +162,16 @@ def _materialised(spark, sf_dir):
 
 @query("train_horizon")
 def train_horizon(spark, sf_dir):
-    coarse = [M.Trial(2, 4, 0.1), M.Trial(3, 4, 0.3)]
-    _, best, results = M.search(_materialised(spark, sf_dir), FEATURES, "h_1", coarse, lambda t: M.around(t)[:2])
-    rows = [(phase, t.depth, t.rounds, t.rate, loss, t == best) for phase, t, loss in results]
+    """A short search: small trials, their numbers given as the parameters that they are."""
+    found = M.search(_materialised(spark, sf_dir), FEATURES, "h_1", [M.Trial(2, 4, 0.1), M.Trial(3, 4, 0.3)], lambda best: M.around(best, n=2))
+    rows = [(phase, t.depth, t.rounds, t.rate, loss, t == found.trial) for phase, t, loss in found.results]
     return spark.createDataFrame(rows, "phase string, depth int, rounds int, rate double, log_loss double, best boolean")
 
 
 @query("prune_features")
 def prune_features(spark, sf_dir):
     model = M.fit(_materialised(spark, sf_dir), FEATURES, "h_1", M.Trial(3, 4, 0.2))
-    kept = set(M.prune(model, FEATURES, at_least=3))
+    kept = set(M.prune(model, FEATURES))
     return spark.createDataFrame([(f, s, f in kept) for f, s in M.gain_shares(model, FEATURES)], "feature string, gain_share double, kept boolean")
 
 
@@ -192,7 +195,10 @@ def _feeds(spark, sf_dir):
 
 @query("design_matrix")
 def design_matrix(spark, sf_dir):
-    """All feeds from raw rows to split features, merged with the labels."""
+    """All feeds from raw rows to split features, merged with the labels.
+
+    The events span 30 days, so the sunspot windows are given in days of that span; all rows are used.
+    """
     plan = S.Plan(WINDOWS, chunk="10d", ssn_rows=(24, 48), ssn_hours=48, ssn_trend_rows=24)
     raw = _feeds(spark, sf_dir)
     features = {
@@ -212,10 +218,10 @@ def score_splits(spark, sf_dir):
 
 @query("forecast_horizons")
 def forecast_horizons(spark, sf_dir):
-    """Two horizons trained, calibrated jointly and combined."""
+    """All horizons trained, calibrated jointly and combined."""
     df = _materialised(spark, sf_dir)
     parts = [
-        M.score_splits(df, FEATURES, f"h_{h}", M.fit(df, FEATURES, f"h_{h}", M.Trial(3, 4, 0.2))).withColumn("h", F.lit(h)) for h in (1, 2)
+        M.score_splits(df, FEATURES, f"h_{h}", M.fit(df, FEATURES, f"h_{h}", M.Trial(3, 4, 0.2))).withColumn("h", F.lit(h)) for h in HORIZONS
     ]
     pooled, _ = M.calibrate_jointly(parts)
-    return M.combine(pooled.select("ts", "h", F.col("prob_calibrated").alias("p")), [1, 2])
+    return M.combine(pooled.select("ts", "h", F.col("prob_calibrated").alias("p")), HORIZONS)

@@ -113,6 +113,17 @@ def over_chunks(keys: Sequence[str], reverse: bool = False) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def with_value_bin(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """Adds `_chunk`, the number of the value's bin (0 .. bins); bins hold about equally many rows, whatever their spread.
+
+    The bounds are approximate quantiles, one short array; each value is compared with them.
+    """
+    steps = F.array(*[F.lit(i / bins) for i in range(1, bins)] or [F.lit(0.5)])
+    bounds = df.agg(F.percentile_approx(col, steps, F.lit(20 * bins)).alias("b")).scalar()
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(col)))
+    return df.withColumn("_bounds", bounds).withColumn(CHUNK, F.coalesce(below, F.lit(0)).cast("long")).drop("_bounds")
+
+
 def positions(
     df: DataFrame, *, keys: Sequence[str], ts: str, chunk: Span, order: Sequence[str] = ()
 ) -> DataFrame:

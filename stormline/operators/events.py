@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormline.session import materialise
-
 from .chunks import CHUNK, HALO, US, Span, before, chunk_window, floor_to, micros, over_chunks, span_us, with_chunk, with_context
 from .fill import carry
 from .segments import previous_row
@@ -21,8 +19,7 @@ HOUR_US = 3_600_000_000
 def _marks(df: DataFrame, index: str, storm: Column, *, keys, ts, chunk, whole: bool) -> DataFrame:
     """Downward zero crossings of `index` and first rows of storm runs (`whole`: all storm rows).
 
-    One ordered pass over the series; the marks are few, so they are written out before the steps
-    that read them several times.
+    One ordered pass over the series; the marks are few against it.
     """
     state = F.coalesce(storm, F.lit(False))
     seen = previous_row(df.withColumn("_storm", state), {"_v": index, "_s": "_storm"}, keys=keys, ts=ts, chunk=chunk)
@@ -33,7 +30,7 @@ def _marks(df: DataFrame, index: str, storm: Column, *, keys, ts, chunk, whole:
         F.when(falls, F.col(ts)).alias("_fall"), F.when(begins, F.col(ts)).alias("_begin"),
     )
     wanted = F.col("_storm") if whole else F.col("_begin").isNotNull()
-    return materialise(rows.filter(wanted | F.col("_fall").isNotNull()))
+    return rows.filter(wanted | F.col("_fall").isNotNull())
 
 
 def storm_onsets(df: DataFrame, index: str, storm: Column, *, keys: Sequence[str], ts: str, chunk: Span = "30d") -> DataFrame:
@@ -166,5 +163,5 @@ def storm_intervals(df: DataFrame, index: str, storm: Column, *, keys: Sequence[
     spans = held.groupBy(*keys, "_run").agg(
         F.min_by(F.struct("_onset"), F.col(ts)).alias("_o"), F.min_by(ts, F.struct("_value", ts)).alias("end")
     )
-    spans = materialise(spans.select(*keys, F.coalesce("_o._onset", "_run").alias("start"), "end"))
+    spans = spans.select(*keys, F.coalesce("_o._onset", "_run").alias("start"), "end")
     return merge_intervals(spans, keys=keys, start="start", end="end", chunk=chunk)

@@ -163,7 +163,7 @@ def interpolate_both(
     backward fill and 0 that leave no NULL.
     """
     us = micros(ts)
-    rows = df.withColumn(POS, F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) div {span_us(step)}")) if step else positions(
+    rows = df.withColumn(POS, F.floor(us / F.lit(span_us(step))).cast("long")) if step else positions(
         df, keys=keys, ts=ts, chunk=chunk
     )
     # three plain columns rather than one struct: their last values combine in a hash aggregate

@@ -137,8 +137,7 @@ def impute_gap_rule(
 
     A short gap at either end of the series holds the nearest value.  Each column is judged on its own.
     """
-    at = f"unix_micros(CAST({ts} AS TIMESTAMP)) div {span_us(step)}" if step else None
-    rows = df.withColumn(POS, F.expr(at)) if at else positions(df, keys=keys, ts=ts, chunk=chunk)
+    rows = df.withColumn(POS, F.floor(micros(ts) / F.lit(span_us(step))).cast("long")) if step else positions(df, keys=keys, ts=ts, chunk=chunk)
     us = micros(ts)
     parts = {"v": lambda c: F.col(c), "u": lambda c: us, "p": lambda c: F.col(POS)}
     rows = rows.withColumns({f"_{n}_{c}": F.when(F.col(c).isNotNull(), part(c)) for c in cols for n, part in parts.items()})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, HALO, Span, before, chunk_window, floor_to, micros, over_chunks, span_us, upto, with_context
+from .chunks import CHUNK, HALO, Span, before, chunk_window, floor_to, micros, over_chunks, span_us, upto, with_context, with_value_bin
 from .fill import carry, ffill
 
 
@@ -116,17 +116,15 @@ def minute_bucket(df: DataFrame, floats: Sequence[str], flags: Sequence[str], *,
     )
 
 
-def grouped_median(df: DataFrame, col: str, *, keys: Sequence[str], bins: int = 4096) -> DataFrame:
+def grouped_median(df: DataFrame, col: str, *, keys: Sequence[str], bins: int = 128) -> DataFrame:
     """Exact median per group, without holding a group's values in one task.
 
-    Equal values are counted first; the value range is cut into bins, counts run over the bins, and
-    only the bins that hold a middle rank are looked into.
+    Equal values are counted first; the values are cut into bins of about equally many distinct ones, counts run over
+    the bins, and only the bins that hold a middle rank are looked into.
     """
     valid = df.filter(F.col(col).isNotNull())
-    span = valid.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("span")).scalar()
-    width = F.when(span["hi"] > span["lo"], (span["hi"] - span["lo"]) / bins).otherwise(1.0)
     counts = valid.groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn(CHUNK, F.floor((F.col("_v") - span["lo"]) / width).cast("long"))
+    counts = with_value_bin(counts, "_v", bins)
     totals = counts.groupBy(*keys, CHUNK).agg(F.sum("_n").alias("_n"))
     context = totals.select(
         *keys, CHUNK,

@@ -174,11 +174,11 @@ def wide_fraction(condition: Column, *, span=None, rows=None, min_periods=1) ->
 
 @dataclass(frozen=True)
 class _Wide:
-    """Wide windows as differences of running sums: linear in the rows, whatever the width.
+    """Wide windows in work linear in the rows, whatever the width.
 
-    Values are centred on the chunk's mean first, so that a large offset does not eat the digits.
-    A spread is good to about 1e-6 of the chunk's own spread; narrow windows are better served by
-    `std_pop` and `std_samp`.
+    Rows are cut into blocks as wide as the window, so a window is the tail of one block and the head of the next.
+    Heads and tails are running moments (count, mean, squared deviations) inside their block, and the two are merged;
+    nothing is subtracted, so values outside the window leave no trace in the result.
     """
 
     kind: str
@@ -190,25 +190,35 @@ class _Wide:
 
     def staged(self, name: str, panel: Panel, unit: int, df: DataFrame) -> tuple[DataFrame, Column]:
         width = self.width * unit
-        upto, out = panel.ordered.rangeBetween(Window.unboundedPreceding, 0), panel.until(width)
-        centre, dev = f"_c_{name}", f"_d_{name}"
-        df = df.withColumn(centre, F.avg(self.value).over(panel.whole()))
-        df = df.withColumn(dev, self.value - F.col(centre))
-
-        def inside(part: Column) -> Column:
-            return F.coalesce(F.sum(part).over(upto), F.lit(0.0)) - F.coalesce(F.sum(part).over(out), F.lit(0.0))
-
-        n = F.count(dev).over(upto) - F.count(dev).over(out)
-        s1 = inside(F.col(dev))
+        block, tail, head, total = f"_b_{name}", f"_t_{name}", f"_h_{name}", f"_a_{name}"
+        df = df.withColumn(block, F.floor(F.col(panel.order) / F.lit(width)).cast("long"))
+        inside = Window.partitionBy(*panel.by, block)
+
+        def moments(over) -> Column:
+            n = F.count(self.value).over(over)
+            spread = F.lit(0.0) if self.kind == "mean" else F.var_pop(self.value).over(over) * n
+            return F.struct(F.col(block).alias("b"), n.alias("n"), F.avg(self.value).over(over).alias("m"), spread.alias("q"))
+
+        rest = inside.orderBy(F.col(panel.order).desc()).rangeBetween(Window.unboundedPreceding, -1)
+        df = df.withColumns({
+            head: moments(inside.orderBy(panel.order).rangeBetween(Window.unboundedPreceding, 0)), tail: moments(rest), total: moments(inside),
+        })
+        # the last row that has left the window tells what of its block is still inside; no row of that block has left: all of it is
+        left = F.last(tail).over(panel.until(width))
+        earlier = Window.partitionBy(*panel.by).orderBy(block).rangeBetween(Window.unboundedPreceding, -1)
+        known, whole = f"_l_{name}", f"_w_{name}"
+        df = df.withColumns({known: left, whole: F.last(total).over(earlier)})
+        before = F.col(block) - 1
+        old = F.when(F.col(known)["b"] == before, F.col(known)).when(F.col(whole)["b"] == before, F.col(whole))
+        n1, n2 = F.coalesce(old["n"], F.lit(0)), F.col(head)["n"]
+        n = n1 + n2
+        m1, m2 = F.coalesce(old["m"], F.lit(0.0)), F.coalesce(F.col(head)["m"], F.lit(0.0))
         if self.kind == "mean":
-            result = F.col(centre) + s1 / n
+            result = (n1 * m1 + n2 * m2) / F.when(n > 0, n)
         else:
             divisor = n if self.kind == "std_pop" else n - 1
-            squares = F.col(dev) * F.col(dev)
-            spread = inside(squares) - s1 * s1 / n
-            # below the rounding noise of the running sum there is no spread to report
-            spread = F.when(spread > F.sum(squares).over(upto) * 1e-13, spread).otherwise(0.0)
-            result = F.sqrt(spread / F.when(divisor > 0, divisor))
+            squares = F.coalesce(old["q"], F.lit(0.0)) + F.coalesce(F.col(head)["q"], F.lit(0.0)) + (m2 - m1) * (m2 - m1) * n1 * n2 / F.when(n > 0, n)
+            result = F.sqrt(squares / F.when(divisor > 0, divisor))
         return df, F.when(n >= max(self.min_periods, 1), result)
 
 

@@ -3,9 +3,10 @@ matrix, whose size is the number of features, reaches the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -43,32 +44,66 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.8) -> Da
     return pairs.orderBy(F.desc("abs_r"), "feature_a", "feature_b")
 
 
-def _inflation(r: np.ndarray) -> np.ndarray:
-    """Diagonal of the inverse correlation matrix; infinite for features that others determine exactly."""
-    if np.isnan(r).all():
-        return np.full(len(r), np.nan)
-    values, vectors = np.linalg.eigh(np.nan_to_num(r))
-    null = values <= values.max() * 1e-10
-    kept = ~null
-    out = (vectors[:, kept] ** 2 / values[kept]).sum(axis=1)
-    dependent = (vectors[:, null] ** 2).sum(axis=1) > 1e-8
-    return np.where(dependent, np.inf, out)
+def _triangle(block: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(block, mode="r")
+
+
+def standard_factor(df: DataFrame, cols: Sequence[str], groups: int = 32) -> tuple[int, np.ndarray]:
+    """Complete rows and the R factor (k x k) of their z-scores, which has the matrix's singular values.
+
+    A tall-skinny QR: every task reduces its rows to one triangle, triangles are stacked and reduced in `groups` groups,
+    and only those reach the driver, so small singular values keep their digits.
+    """
+    k = len(cols)
+    rows = standardise(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna("any"), cols)
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, k))
+        for b in batches:
+            n += b.num_rows
+            r = _triangle(np.vstack([r, np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])])) if b.num_rows else r
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([r.tobytes()], pa.binary())], names=["n", "r"])
+
+    def stack(table: pa.Table) -> pa.Table:
+        r = _triangle(np.vstack([np.frombuffer(x).reshape(-1, k) for x in table["r"].to_pylist()]))
+        return pa.table({"n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "r": pa.array([r.tobytes()], pa.binary())})
+
+    parts = rows.select(*cols).mapInArrow(reduce_rows, "n long, r binary").withColumn("g", F.spark_partition_id() % groups)
+    found = parts.groupBy("g").applyInArrow(lambda t: stack(t.select(["n", "r"])), "n long, r binary").collect()
+    if not found:
+        return 0, np.zeros((0, k))
+    return sum(x["n"] for x in found), _triangle(np.vstack([np.frombuffer(x["r"]).reshape(-1, k) for x in found]))
+
+
+def _inflation(n: int, r: np.ndarray) -> np.ndarray:
+    """Diagonal of the inverse correlation matrix; infinite for features that others determine to machine precision,
+    NaN for constant ones, which no regression explains."""
+    k = r.shape[1]
+    if not n:
+        return np.full(k, np.nan)
+    constant = ~r.any(axis=0)
+    _, s, v = np.linalg.svd(r)
+    s = np.r_[s, np.zeros(k - len(s))]
+    null = s <= s.max(initial=0.0) * np.finfo(float).eps * 64 * k
+    free = v[null]
+    free = free[(free[:, ~constant] ** 2).sum(axis=1) > 1e-8]  # directions of dependence, not of constant columns
+    out = n * (v[~null] ** 2 / s[~null, None] ** 2).sum(axis=0)
+    return np.where(constant, np.nan, np.where((free**2).sum(axis=0) > 1e-12, np.inf, out))
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Variance inflation of each feature against all others with a constant, highest first."""
-    rows = [(c, None if np.isnan(v) else float(v)) for c, v in zip(cols, _inflation(correlation_matrix(df, cols)))]
+    """Variance inflation of each feature against all others with a constant, highest first; NULL for a constant one."""
+    rows = [(c, None if np.isnan(v) else float(v)) for c, v in zip(cols, _inflation(*standard_factor(df, cols)))]
     out = df.sparkSession.createDataFrame(rows, "feature string, vif double")
     level = F.when(F.col("vif") >= VIF_HIGH, "high").when(F.col("vif") >= VIF_WARN, "warn").otherwise("ok")
     return out.withColumn("level", level).orderBy(F.desc("vif"), "feature")
 
 
 def singular_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Singular values of the standardised matrix.  They come from its Gramian, so values below about
-    1e-8 of the largest are rounding noise and read as 0."""
-    n, r = df.select(*cols).dropna("any").count(), correlation_matrix(df, cols)
-    values = np.linalg.eigvalsh(np.nan_to_num(r))[::-1] * n if n else np.empty(0)
-    values = np.sqrt(np.where(values > values.max(initial=0.0) * 1e-14, values, 0.0))
+    """Singular values of the standardised matrix; a constant column is a zero column."""
+    n, r = standard_factor(df, cols)
+    values = np.r_[np.linalg.svd(r, compute_uv=False), np.zeros(max(0, len(cols) - len(r)))] if n else np.empty(0)
     return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, singular_value double")
 
 

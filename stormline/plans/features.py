@@ -20,7 +20,6 @@ from stormline.operators.quality import clip_high, clip_low, finite
 from stormline.operators.resample import ceil_time, floor_time, grid, on_grid, reindex_ffill
 from stormline.operators.segments import previous_row
 from stormline.operators.upsert import dedupe_last
-from stormline.session import materialise
 
 PROTON_MASS = 1.6726219e-27
 DECAY_TAU_HOURS = 36.0
@@ -258,12 +257,11 @@ def cme_hourly(events: DataFrame, *, keys: Sequence[str], ts: str, as_of: str |
     """Events on the hourly grid from the first event's hour to the later of the last event and `as_of`.
 
     Hours since the last event and the 24-hour strength sum see every event; the "last" columns only
-    take events exactly on the hour, and hold them.  The event list is small against the grid and read
-    by several steps, so it is written out first.
+    take events exactly on the hour, and hold them.
     """
     columns = {"last_cme_v_med": "median_velocity", "effective_width": "effective_width", "cme_overtaking_flag": "cme_overtaking_flag",
                "last_cme_shock_proxy": "shock_proxy"}
-    events = materialise(events.select(*keys, ts, "strength", *columns.values()))
+    events = events.select(*keys, ts, "strength", *columns.values())
     ends = events.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     last = ceil_time("_b", "1h")
     if as_of is not None:

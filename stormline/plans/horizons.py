@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,21 +24,47 @@ MIN_FEATURES = 50
 
 @dataclass(frozen=True)
 class Trial:
+    """Settings of one boosted-tree model; `columns` is the share of features each split looks at."""
+
     depth: int
     rounds: int
     rate: float
+    rows: float = 0.8
+    columns: float = 1.0
+    least_child: int = 1
+    least_gain: float = 0.0
 
 
-COARSE = tuple(Trial(d, n, r) for d in (3, 5) for n in (20, 40) for r in (0.05, 0.2))
+# Search ranges, the numbers of trials, and how far the fine phase goes around the best coarse trial.
+DEPTH, ROUNDS, RATE, SHARE, CHILD, GAIN = (2, 15), (200, 2000), (0.001, 0.2), (0.5, 1.0), (1, 10), (0.0, 5.0)
+N_COARSE, N_FINE, AROUND = 30, 40, (0.7, 1.3)
 
 
-def around(best: Trial) -> tuple[Trial, ...]:
-    """A finer grid next to the best coarse trial."""
+def coarse_trials(n: int = N_COARSE, seed: int = 7) -> tuple[Trial, ...]:
+    """Random trials over the whole ranges."""
+    rng = np.random.default_rng(seed)
     return tuple(
-        Trial(d, best.rounds, r)
-        for d in sorted({max(2, best.depth - 1), best.depth, best.depth + 1})
-        for r in (best.rate * 0.5, best.rate, best.rate * 1.5)
-        if (d, r) != (best.depth, best.rate)
+        Trial(
+            int(rng.integers(DEPTH[0], DEPTH[1] + 1)), int(rng.integers(ROUNDS[0], ROUNDS[1] + 1)), float(np.exp(rng.uniform(*np.log(RATE)))),
+            float(rng.uniform(*SHARE)), float(rng.uniform(*SHARE)), int(rng.integers(CHILD[0], CHILD[1] + 1)), float(rng.uniform(*GAIN)),
+        )
+        for _ in range(n)
+    )
+
+
+def around(best: Trial, n: int = N_FINE, seed: int = 8) -> tuple[Trial, ...]:
+    """Random trials next to the best coarse one."""
+    rng = np.random.default_rng(seed)
+
+    def near(value: float, lo: float, hi: float) -> float:
+        return float(min(max(value * rng.uniform(*AROUND), lo), hi))
+
+    return tuple(
+        Trial(
+            int(min(max(best.depth + rng.integers(-2, 3), DEPTH[0]), DEPTH[1])), max(1, int(best.rounds * rng.uniform(*AROUND))), near(best.rate, *RATE),
+            near(best.rows, *SHARE), near(best.columns, *SHARE), max(1, round(near(best.least_child, *CHILD))), near(best.least_gain, *GAIN),
+        )
+        for _ in range(n)
     )
 
 
@@ -47,12 +74,13 @@ def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, trial: Trial, seed: int = 7):
-    """A boosted-tree model fitted on the rows of the train split."""
+    """A boosted-tree model fitted on the complete rows of the train split."""
     booster = GBTClassifier(
-        featuresCol="features", labelCol="_y", maxDepth=trial.depth, maxIter=trial.rounds, stepSize=trial.rate, seed=seed, subsamplingRate=0.8
+        featuresCol="features", labelCol="_y", maxDepth=trial.depth, maxIter=trial.rounds, stepSize=trial.rate, seed=seed, subsamplingRate=trial.rows,
+        featureSubsetStrategy="all" if trial.columns >= 1 else str(trial.columns), minInstancesPerNode=trial.least_child, minInfoGain=trial.least_gain,
     )
-    train = vectors(df.filter(F.col("split") == "train"), features).withColumn("_y", F.col(label).cast("double"))
-    return booster.fit(train)
+    train = df.filter(F.col("split") == "train").dropna("any", subset=[*features, label])
+    return booster.fit(vectors(train, features).withColumn("_y", F.col(label).cast("double")))
 
 
 def score(df: DataFrame, features: Sequence[str], model) -> DataFrame:
@@ -62,27 +90,48 @@ def score(df: DataFrame, features: Sequence[str], model) -> DataFrame:
     )
 
 
-def search(df: DataFrame, features: Sequence[str], label: str, coarse: Sequence[Trial] = COARSE, fine=around):
-    """Coarse trials, then fine ones around the best, by log-loss on the validation split.
+@dataclass(frozen=True)
+class Found:
+    """The best model of a search, its trial, the features it uses and all results as (phase, trial, loss)."""
 
-    Returns the best model, its trial, and all results as (phase, trial, loss).
-    """
-    results, best = [], None
-    validation = df.filter(F.col("split") == "validation")
+    model: object
+    trial: Trial
+    features: list[str]
+    results: list[tuple[str, Trial, float]]
 
-    def attempt(phase: str, trial: Trial) -> None:
-        nonlocal best
-        model = fit(df, features, label, trial)
-        loss = score(validation, features, model).agg(log_loss(label, "y_prob")).head()[0]
-        results.append((phase, trial, loss))
-        if loss is not None and (best is None or loss < best[2]):
-            best = (model, trial, loss)
 
-    for trial in coarse:
-        attempt("coarse", trial)
-    for trial in fine(best[1]) if best else ():
-        attempt("fine", trial)
-    return best[0], best[1], results
+def search(
+    df: DataFrame, features: Sequence[str], label: str, coarse: Sequence[Trial] | None = None, fine=around, min_share: float = MIN_SHARE, at_least: int = MIN_FEATURES
+) -> Found:
+    """Coarse trials on all features, pruning by the best one's gain, then fine trials on the features that are left.
+
+    Losses are log-losses on the complete rows of the validation split. The caller persists `df`, which every trial reads.
+    """
+    results: list[tuple[str, Trial, float]] = []
+    validation = df.filter(F.col("split") == "validation").dropna("any", subset=[*features, label])
+
+    def best_of(phase: str, trials: Sequence[Trial], cols: list[str]):
+        best = None
+        for trial in trials:
+            model = fit(df, cols, label, trial)
+            loss = score(validation, cols, model).agg(log_loss(label, "y_prob")).head()[0]
+            results.append((phase, trial, loss))
+            if loss is not None and (best is None or loss < best[2]):
+                best = (model, trial, loss)
+        return best
+
+    cols = list(features)
+    first = best_of("coarse", coarse_trials() if coarse is None else coarse, cols)
+    if first is None:
+        raise ValueError("no trial has a loss: the validation split has no complete row")
+    kept = prune(first[0], cols, min_share, at_least)
+    trials = list(fine(first[1]))
+    if kept != cols:
+        trials.insert(0, first[1])  # the best coarse settings are judged on the kept features too
+    last = best_of("fine", trials, kept)
+    if last is None or (kept == cols and first[2] <= last[2]):
+        return Found(first[0], first[1], cols, results)
+    return Found(last[0], last[1], kept, results)
 
 
 def gain_shares(model, features: Sequence[str]) -> list[tuple[str, float]]:
@@ -122,6 +171,6 @@ def append_predictions(stored: DataFrame, new: DataFrame, on: Sequence[str] = ("
 
 
 __all__ = [
-    "COARSE", "Trial", "append_predictions", "around", "calibrate_jointly", "combine", "fit", "gain_shares", "prune",
+    "Found", "Trial", "append_predictions", "around", "calibrate_jointly", "coarse_trials", "combine", "fit", "gain_shares", "prune",
     "score", "score_splits", "search", "vectors",
 ]

@@ -8,7 +8,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormline.operators.chunks import CHUNK, HALO, before, chunk_window, over_chunks, upto, with_context
+from stormline.operators.chunks import CHUNK, HALO, before, chunk_window, over_chunks, upto, with_context, with_value_bin
 
 EPS = 1e-15
 
@@ -24,14 +24,14 @@ def prob_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataF
     )
 
 
-def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = (), bins: int = 1024) -> DataFrame:
+def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = (), bins: int = 128) -> DataFrame:
     """Precision and recall at every distinct score, from the highest down.
 
-    Equal scores are summed first; the running counts go over score bins, so no group of scores is
-    ranked in one task.
+    Equal scores are summed first; the running counts go over bins of about equally many distinct scores, so no group
+    of scores is ranked in one task, however close together the scores lie.
     """
     scores = df.groupBy(*by, F.col(p).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    rows = scores.withColumn(CHUNK, -F.floor(F.col("threshold") * bins))
+    rows = with_value_bin(scores, "threshold", bins).withColumn(CHUNK, -F.col(CHUNK))
     totals = rows.groupBy(*by, CHUNK).agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
     ahead = before(over_chunks(by))
     context = totals.select(

@@ -19,7 +19,7 @@ from stormline.operators.events import greedy_spacing, hazard_labels, storm_onse
 from stormline.operators.joins import join_labels, merge_features, outer_join_hour
 from stormline.operators.resample import resample_last, resample_mean
 from stormline.operators.segments import drop_long_missing
-from stormline.operators.sets import latest_n
+from stormline.operators.sets import latest_n, preferred
 from stormline.operators.upsert import combine_priority
 from stormline.session import materialise
 
@@ -106,9 +106,10 @@ def field_stage(plasma_a: DataFrame, plasma_b: DataFrame, field_a: DataFrame, fi
     field = combine_priority(*[resample_mean(df, FIELD, **plan.raw) for df in (field_b, field_a)], on, FIELD)
     combined = outer_join_hour(plasma, field, on)
     combined = combined.filter(F.col(plan.ts) >= F.lit(plan.field_since).cast(combined.schema[plan.ts].dataType))
-    hourly = materialise(drop_long_missing(materialise(combined), [*PLASMA, *FIELD], plan.long_gap_rows, **plan.series))
-    repaired = materialise(Q.impute_gap_rule(hourly, [*FIELD, *PLASMA], **plan.series))
-    return D.imf_windows(D.imf_coupling(plan.split(repaired), **plan.per_split), **plan.per_split)
+    hourly = drop_long_missing(combined, [*PLASMA, *FIELD], plan.long_gap_rows, **plan.series)
+    repaired = Q.impute_gap_rule(hourly, [*FIELD, *PLASMA], **plan.series)
+    windows = D.imf_windows(D.imf_coupling(plan.split(repaired), **plan.per_split), **plan.per_split)
+    return windows.withColumnsRenamed({c: f"{c}_gse" for c in ("bx", "by", "bz")})
 
 
 def cme_stage(catalogue: DataFrame, plan: Plan) -> DataFrame:
@@ -121,7 +122,7 @@ def xray_stage(raw: DataFrame, plan: Plan) -> DataFrame:
     detectors = [c for pair in DETECTORS.values() for c in pair]
     hourly = resample_mean(raw, detectors, **plan.raw).withColumn("xrs_missing_flag", Q.all_missing_flag(detectors))
     clean = hourly.withColumns({c: Q.floor_clip(F.col(c)) for c in detectors})
-    merged = clean.select(*plan.keys, plan.ts, *[F.coalesce(Q.row_median(pair), F.lit(0.0)).alias(c) for c, pair in DETECTORS.items()])
+    merged = clean.select(*plan.keys, plan.ts, "xrs_missing_flag", *[F.coalesce(Q.row_median(pair), F.lit(0.0)).alias(c) for c, pair in DETECTORS.items()])
     return D.xray_windows(D.xray_features(plan.split(merged), **plan.per_split), **plan.per_split)
 
 
@@ -133,7 +134,7 @@ def design_matrix(features: dict[str, DataFrame], plan: Plan) -> DataFrame:
 def label_stage(dst: DataFrame, kp: DataFrame, plan: Plan, horizons: int = 8) -> DataFrame:
     """`h_1..h_n` on the hours that both indices cover, split."""
     ap = hourly_held(kp, "kp_index", plan).select(*plan.keys, plan.ts, kp_to_ap(F.col("kp_index")).alias("ap"))
-    index = materialise(hourly_held(dst, "dst", plan).join(ap, [*plan.keys, plan.ts]))
+    index = hourly_held(dst, "dst", plan).join(ap, [*plan.keys, plan.ts])
     storm = (F.col("ap") > plan.storm_ap) & (F.col("dst") < plan.storm_dst)
     onsets = storm_onsets(index, "dst", storm, **plan.series)
     spaced = greedy_spacing(onsets, keys=list(plan.keys), ts="onset", gap="4h", chunk=plan.chunk)
@@ -154,15 +155,20 @@ class Forecaster:
     calibration: tuple[list[float], list[float]]
 
 
-def train(data: DataFrame, horizons: Sequence[int], plan: Plan, coarse: Sequence[M.Trial] = M.COARSE, fine=M.around) -> Forecaster:
-    """Search each horizon on the fixed split, refit on the features that carry gain, calibrate all jointly."""
+def train(data: DataFrame, horizons: Sequence[int], plan: Plan, coarse: Sequence[M.Trial] | None = None, fine=M.around) -> Forecaster:
+    """Search each horizon on the fixed split, prune between the phases, calibrate all jointly.
+
+    The data are written out first: every trial of every horizon reads them. An empty split is an error.
+    """
+    if not plan.skip_splits:
+        Q.require_splits(data, plan.windows)
+    data = materialise(data)
     marks = {f"h_{h}" for h in horizons}
     every = [c for c in Q.numeric_columns(data) if c not in marks and c not in plan.on and not c.startswith("h_")]
     features, models, scored = {}, {}, []
     for h in horizons:
-        model, trial, _ = M.search(data, every, f"h_{h}", coarse, fine)
-        features[h] = M.prune(model, every)
-        models[h] = model if features[h] == every else M.fit(data, features[h], f"h_{h}", trial)
+        found = M.search(data, every, f"h_{h}", coarse, fine)
+        features[h], models[h] = found.features, found.model
         scored.append(M.score_splits(data, features[h], f"h_{h}", models[h], keep=[*plan.keys, plan.ts]))
     _, calibration = M.calibrate_jointly(scored)
     return Forecaster(features, models, calibration)
@@ -179,7 +185,13 @@ def forecast(matrix: DataFrame, by: Forecaster, plan: Plan) -> DataFrame:
     return M.combine(long, list(by.models), on=[*plan.keys, plan.ts])
 
 
-def forecast_latest(matrix: DataFrame, by: Forecaster, plan: Plan, stored: DataFrame | None = None, rows: int = 720) -> DataFrame:
-    """Forecast the newest rows; a time that was forecast before replaces its stored row."""
-    new = forecast(latest_n(matrix, rows, [plan.ts]), by, plan)
+def forecast_latest(
+    matrix: DataFrame, by: Forecaster, plan: Plan, stored: DataFrame | None = None, rows: int = 720, splits: Sequence[str] = ("test", "validation", "train")
+) -> DataFrame:
+    """Forecast the newest rows of each series; a time that was forecast before replaces its stored row.
+
+    They are taken from one split, the first of `splits` that has rows: with skip_splits each holds every hour.
+    """
+    chosen = preferred(matrix, "split", splits) if "split" in matrix.columns else matrix
+    new = forecast(latest_n(chosen, rows, [plan.ts], plan.keys), by, plan)
     return new if stored is None else M.append_predictions(stored, new, [*plan.keys, plan.ts])

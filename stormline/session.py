@@ -22,6 +22,7 @@ def local_session(app: str = "stormline", cpus: str = "*", shuffle_partitions: i
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="stormline-"))
         .getOrCreate()
     )
 
@@ -34,9 +35,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (machine-local only when unset)."""
+    """A fresh folder below the cluster's shared checkpoint folder; a local master alone may go without one."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stormline-")
     return f"{root.rstrip('/')}/stormline-{uuid.uuid4().hex}"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormline.functions.times import event_id
@@ -30,13 +30,25 @@ CATALOGUE_NUMBERS = (
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`(file, seq, line)` of text files; each file is small enough to be one row while it is split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
+    """`(file, seq, line)` of text files, `seq` counting the file's lines from 0.
+
+    A large file is read by many tasks: lines are numbered within their split, and the splits' line counts, one row
+    per split, are summed up in the order of the splits.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
+    )
+    splits = lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_at", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(splits, ["file", "_at"]).select("file", (F.col("_id") + F.col("_shift")).alias("seq"), "line")
 
 
-def _bounded(lines: DataFrame, opens: Column, closes: Column, keep: Sequence[str]) -> DataFrame:
-    """Lines after the file's first opening line and before its first closing line; `_head` is the opening line."""
+def _bounded(lines: DataFrame, opens: Column, closes: Column, keep: Sequence[str], stray: bool = False) -> DataFrame:
+    """Lines after the file's first opening line and before its first closing line; `_head` is the opening line.
+
+    With `stray` a closing line before the opening one, or on it, does not count.
+    """
     marked = lines.select(
         *keep,
         F.when(opens, F.struct(F.col("seq").alias("at"), F.col("line").alias("text"))).alias("_o"),
@@ -45,6 +57,9 @@ def _bounded(lines: DataFrame, opens: Column, closes: Column, keep: Sequence[str
     known = carry(
         marked, keys=["file"], ts="seq", series={"_open": ("_o", "min"), "_shut": ("_c", "min")}, chunk=LINES_PER_CHUNK
     )
+    if stray:
+        known = known.withColumn("_c", F.when(F.col("seq") > F.col("_open.at"), F.col("_c"))).drop("_shut")
+        known = carry(known, keys=["file"], ts="seq", series={"_shut": ("_c", "min")}, chunk=LINES_PER_CHUNK)
     inside = (F.col("seq") > F.col("_open.at")) & (F.col("_shut").isNull() | (F.col("seq") < F.col("_shut")))
     return known.filter(inside).select(*keep, F.col("_open.text").alias("_head"))
 
@@ -108,7 +123,7 @@ def parse_hourly_matrix(lines: DataFrame, month: Column, keep: Sequence[str] = (
 def parse_pre_block(lines: DataFrame, month: Column, keep: Sequence[str] = ("file", "seq")) -> DataFrame:
     """Integers in the lines of a `<pre>` block: a day, then 24 hours; missing hours are NULL."""
     line = F.col("line")
-    body = _bounded(lines, line.contains("<pre"), line.contains("</pre"), [*dict.fromkeys([*keep, "file", "seq", "line"])])
+    body = _bounded(lines, line.contains("<pre"), line.contains("</pre"), [*dict.fromkeys([*keep, "file", "seq", "line"])], stray=True)
     numbers = F.regexp_extract_all("line", F.lit(r"-?\d+"), F.lit(0))
     rows = body.withColumn("_n", numbers).filter(~line.contains("<pre") & (F.size("_n") >= 2))
     rows = rows.withColumn("_day", F.get("_n", F.lit(0)).try_cast("int")).filter(F.col("_day").between(1, 31))

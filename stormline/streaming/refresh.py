@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stormline.operators.chunks import Span, floor_to, micros, span_us
@@ -66,29 +64,15 @@ def hourly_stream(stream: DataFrame, *, keys: Sequence[str], ts: str, value: str
     return hours.agg(F.avg(value).alias(value)).select(*keys, F.col("_w.start").alias(ts), value)
 
 
-def newest(pdf_key: str) -> Callable:
-    """State function: newest (time, value) per series, emitted when it moves forward."""
+def last_value_stream(stream: DataFrame, *, key: str | Sequence[str], ts: str, value: str) -> DataFrame:
+    """Newest value per series as a stream of changes; state is one row per series, combined before the shuffle.
 
-    def update(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else None
-        best = known
-        for pdf in rows:
-            i = int(pdf["us"].to_numpy().argmax())
-            seen = (int(pdf["us"].iloc[i]), float(pdf["v"].iloc[i]))
-            best = seen if best is None or seen[0] >= best[0] else best
-        if best is not None and best != known:
-            state.update(best)
-            yield pd.DataFrame({pdf_key: [key[0]], "us": [best[0]], "v": [best[1]]})
-
-    return update
-
-
-def last_value_stream(stream: DataFrame, *, key: str, ts: str, value: str) -> DataFrame:
-    """Newest value per series as a stream of changes; state is one row per series."""
-    slim = stream.select(key, micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
-    schema = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField("us", T.LongType()), T.StructField("v", T.DoubleType())])
-    changes = slim.groupBy(key).applyInPandasWithState(newest(key), schema, "us long, v double", "update", "NoTimeout")
-    return changes.select(key, F.timestamp_micros("us").alias(ts), F.col("v").alias(value))
+    Write it in update mode. Of several rows with the newest time the one with the largest value counts.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    v = F.col(value).cast("double").alias("v")
+    best = stream.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("t"), v)).alias("_best"))
+    return best.select(*keys, F.col("_best.t").cast("timestamp").alias(ts), F.col("_best.v").alias(value))
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from queries import load
 from queries.compare import compare, connect
 
-SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+QUERIES, SQL = load()
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,10 @@ def tables():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, tables, name):
-    assert compare(spark, tables, QUERIES[name], SQL[name], SF) in ("", "EMPTY")
+    found = compare(spark, tables, QUERIES[name], SQL[name], SF)
+    if found == "EMPTY":  # the smallest tables have no row that qualifies
+        found = compare(spark, connect(LARGER), QUERIES[name], SQL[name], LARGER)
+    assert found == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

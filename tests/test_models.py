@@ -97,8 +97,12 @@ def test_horizon_search_prune_and_combination(spark):
     pdf = pd.DataFrame({"ts": range(n), "a": rng.normal(size=n), "b": rng.normal(size=n), "split": np.where(np.arange(n) < 400, "train", "validation")})
     pdf["h_1"] = (pdf["a"] > 0.5).astype(int)
     df = to_spark(spark, pdf)
-    model, best, results = M.search(df, ["a", "b"], "h_1", [M.Trial(2, 3, 0.1), M.Trial(2, 3, 0.3)], lambda t: [M.Trial(3, 3, t.rate)])
+    found = M.search(df, ["a", "b"], "h_1", [M.Trial(2, 3, 0.1), M.Trial(2, 3, 0.3)], lambda t: [M.Trial(3, 3, t.rate)])
+    model, best, results = found.model, found.trial, found.results
     assert [r[0] for r in results] == ["coarse", "coarse", "fine"] and min(r[2] for r in results) == dict((r[1], r[2]) for r in results)[best]
+    pruned = M.search(df, ["a", "b"], "h_1", [M.Trial(2, 3, 0.1)], lambda t: [M.Trial(2, 3, 0.3, 0.9, 0.6, 2, 0.01)], min_share=0.5, at_least=1)
+    assert pruned.features == ["a"] and [r[0] for r in pruned.results] == ["coarse", "fine", "fine"]
+    assert len(M.coarse_trials()) == 30 and len(M.around(M.coarse_trials()[0])) == 40
     assert M.prune(model, ["a", "b"], min_share=0.5, at_least=1) == ["a"] and M.prune(model, ["a", "b"]) == ["a", "b"]
     scored = M.score_splits(df, ["a", "b"], "h_1", model)
     assert scored.columns == ["ts", "y_true", "y_prob", "split"] and scored.count() == n

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from queries import load
 
 SF = "/root/testdata/sf0.001"
 KEYED = [
@@ -13,7 +13,7 @@ KEYED = [
 
 
 def plan(spark, name):
-    return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return load()[0][name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", KEYED)
@@ -30,7 +30,7 @@ def test_series_are_cut_into_chunks(spark, name):
     assert windows and "hashpartitioning(k#" in text and "_chunk#" in text
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load()[0]))
 def test_no_nested_loops_anywhere(spark, name):
     if name in ("train_horizon", "prune_features", "score_splits", "forecast_horizons", "design_matrix") or name.startswith("stream"):
         pytest.skip("runs jobs while it is built")
@@ -49,3 +49,21 @@ def test_time_filters_reach_the_scan(spark, name, filters):
 def test_only_needed_columns_are_read(spark):
     text = plan(spark, "rolling_mean")
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
+
+
+WRITES = {  # sinks, streams, model fits and statistics that reach the driver run jobs while they are built
+    "train_horizon", "prune_features", "score_splits", "forecast_horizons", "design_matrix", "sink_roundtrip", "report_files", "isotonic_calibrate",
+    "corr_pairs", "top_pairs", "vif", "vif_dependent", "condition_number", "near_degenerate", "require_complete",
+}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in load()[0] if n not in WRITES and not n.startswith("stream")))
+def test_building_a_query_runs_no_job(spark, name):
+    load()[0][name](spark, SF)  # schemas of the tables are read once
+    context = spark.sparkContext
+    context.setJobGroup(f"build {name}", name)
+    try:
+        load()[0][name](spark, SF)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert not context.statusTracker().getJobIdsForGroup(f"build {name}")
