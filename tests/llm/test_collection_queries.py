@@ -178,9 +178,12 @@ def test_pipeline(spark):
             assert max(lines.values()) == 1
         elif name == "near_dedup":
             fp = {i: fingerprint(r.text, 5) for i, r in before.items()}
-            radius = simhash.radius_for(0.8)
-            root = least_reachable(sorted(before), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= radius)
-            assert set(kept) == set(root.values())
+
+            def near(a, b):
+                apart = (fp[a] ^ fp[b]).bit_count()
+                return apart <= 5 or apart <= c.NEAR_RADIUS and simhash.jaccard(before[a].text, before[b].text, 5) >= 0.8
+
+            assert set(kept) == set(least_reachable(sorted(before), near).values())
         else:
             assert gone == {i for i, r in before.items() if any(best_window(r.text, x)[0] >= 0.8 for x in items)}
     assert kept
