@@ -116,6 +116,23 @@ def split_counts(df: DataFrame, windows: Windows) -> DataFrame:
     return both.groupBy("split").agg(F.sum("n").alias("n"))
 
 
+def split_bounds(df: DataFrame, ts: str, names: Sequence[str] = ("train", "validation", "test")) -> Windows:
+    """Windows from the rows of already split data: from the floor hour of a split's first time to the ceiling hour of its
+    last. A split without a time is an error."""
+    hour = F.lit(3_600_000_000)
+    lo, hi = F.min(micros(ts)), F.max(micros(ts))
+    found = {
+        r["split"]: (r["a"], r["b"])
+        for r in df.filter(F.col("split").isin(*names) & F.col(ts).isNotNull()).groupBy("split").agg(
+            F.date_format(F.timestamp_micros((F.floor(lo / hour) * hour).cast("long")), "yyyy-MM-dd HH:mm:ss").alias("a"),
+            F.date_format(F.timestamp_micros((F.ceil(hi / hour) * hour).cast("long")), "yyyy-MM-dd HH:mm:ss").alias("b"),
+        ).collect()
+    }
+    if missing := [n for n in names if n not in found]:
+        raise ValueError(f"empty split: {', '.join(missing)}")
+    return {n: found[n] for n in names}
+
+
 def require_splits(df: DataFrame, windows: Windows) -> None:
     """Raise when a split has no rows."""
     empty = [r["split"] for r in split_counts(df, windows).filter("n = 0").collect()]

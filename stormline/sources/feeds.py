@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,7 @@ class Feed:
         return write(old, new, self.key, order)
 
 
+# Schemas, keys and conflict rules of the feeds.
 _FLARE = ("peak_flux_wm2", "xrsb_flux", "background_flux", "integrated_flux")
 
 FEEDS: dict[str, Feed] = {
@@ -146,13 +149,33 @@ def days_between(df: DataFrame, ts: str, first: str, last: str) -> DataFrame:
     return df.filter((F.col(ts) >= F.lit(first).cast("date").cast(kind)) & (F.col(ts) < after))
 
 
-def route_segments(archive: DataFrame, realtime: DataFrame, ts: str, *, start: str, end: str, realtime_from: str) -> DataFrame:
-    """Days before the switch come from the archive, later ones from the realtime feed; rows keep a `dataset` tag."""
-    kind = archive.schema[ts].dataType
-    switch = F.lit(realtime_from).cast("date").cast(kind)
-    old = days_between(archive, ts, start, end).filter(F.col(ts) < switch).withColumn("dataset", F.lit("archive"))
-    new = days_between(realtime, ts, start, end).filter(F.col(ts) >= switch).withColumn("dataset", F.lit("realtime"))
-    return old.unionByName(new, allowMissingColumns=True)
+def segments(start: str, end: str, realtime_from: str, archive: tuple[str | None, str | None] = (None, None)) -> list[tuple[str, str, str]]:
+    """(dataset, first day, last day) of a range of days: the archive within its own bounds and before the switch, the
+    realtime feed from the switch on; a range that neither covers is asked of the realtime feed as it is."""
+    before = (date.fromisoformat(realtime_from) - timedelta(days=1)).isoformat()
+    first, last = max(start, archive[0] or start), min(end, archive[1] or end, before)
+    found = [("archive", first, last)] if first <= last else []
+    if end >= realtime_from:
+        found.append(("realtime", max(start, realtime_from), end))
+    return found or [("realtime", start, end)]
+
+
+def route_segments(
+    archive: DataFrame, realtime: DataFrame, ts: str, *, start: str, end: str, realtime_from: str, archive_days: tuple[str | None, str | None] = (None, None)
+) -> DataFrame:
+    """Rows of each segment from its own feed, with a `dataset` tag; days are inclusive and read as ISO dates."""
+    feeds = {"archive": archive, "realtime": realtime}
+    parts = [days_between(feeds[name], ts, a, b).withColumn("dataset", F.lit(name)) for name, a, b in segments(start, end, realtime_from, archive_days)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def dispatch(routed: DataFrame, stored: dict[str, DataFrame], kinds: dict[str, Feed], order: Sequence[str | Column] = ()) -> dict[str, DataFrame]:
+    """Routed rows go to the table of their dataset: per dataset the stored rows after the feed's own upsert."""
+    out = {}
+    for name, old in stored.items():
+        mine = routed.filter(F.col("dataset") == name).drop("dataset")
+        out[name] = kinds[name].upsert(old, kinds[name].shape(mine), order)
+    return out
 
 
 def effective(days: DataFrame, day: str, windows: Sequence[tuple[str, int, str, str | None]], *, first_match: bool = False) -> DataFrame:
@@ -195,10 +218,23 @@ def snapshot_latest(tables: dict[str, tuple[DataFrame, str]], hours: int) -> Dat
     return out
 
 
-def high_water_mark(df: DataFrame, source: str, times: Sequence[str]) -> DataFrame:
-    """Newest time per source over all its time columns."""
-    newest = F.greatest(*[F.max(F.col(c).cast("timestamp")) for c in times]) if len(times) > 1 else F.max(F.col(times[0]).cast("timestamp"))
-    return df.groupBy(source).agg(newest.alias("latest_timestamp"))
+def time_like(df: DataFrame) -> list[str]:
+    """Columns whose name holds `time` or `date`, in any letter case."""
+    return [c for c in df.columns if "time" in c.lower() or "date" in c.lower()]
+
+
+def high_water_mark(df: DataFrame, source: str, times: Sequence[str] | None = None) -> DataFrame:
+    """Newest time per source over its time columns: the named ones that exist and hold a time, else all that are
+    named like one. Texts are read as times, those that are none count as missing; a source without any has NULL."""
+
+    def newest(names: Sequence[str]) -> Column:
+        kinds = dict(df.dtypes)
+        tops = [F.max(F.try_to_timestamp(c) if kinds[c] == "string" else F.col(c).cast("timestamp")) for c in names if c != source and kinds[c] in ("string", "date", "timestamp", "timestamp_ntz")]
+        return F.greatest(*tops) if len(tops) > 1 else tops[0] if tops else F.lit(None).cast("timestamp")
+
+    named = [c for c in times or () if c in df.columns]
+    best = F.coalesce(newest(named), newest(time_like(df))) if named else newest(time_like(df))
+    return df.groupBy(source).agg(best.alias("latest_timestamp"))
 
 
 def advance_marks(old: DataFrame, seen: DataFrame, source: str) -> DataFrame:
@@ -218,7 +254,7 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
 
 
 __all__ = [
-    "FEEDS", "Feed", "advance_marks", "days_between", "detect_time", "effective", "evolve", "high_water_mark", "pending_windows",
-    "project_listed", "project_reindex", "read_stage", "route_segments", "scan_timeseries", "snapshot_latest", "source_breakdown",
-    "time_between", "write_report", "write_stage", "write_tail",
+    "FEEDS", "Feed", "advance_marks", "days_between", "detect_time", "dispatch", "effective", "evolve", "high_water_mark", "pending_windows",
+    "project_listed", "project_reindex", "read_stage", "route_segments", "scan_timeseries", "segments", "snapshot_latest",
+    "source_breakdown", "time_between", "time_like", "write_report", "write_stage", "write_tail",
 ]

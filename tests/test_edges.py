@@ -1,5 +1,7 @@
 """Spikes, constant columns, stray tags, skewed values, several series: results that must not depend on the data's shape."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -116,5 +118,38 @@ def test_names_with_spaces(spark):
     same(collect(impute_gap_rule(df, ["v"], keys=[], ts="time tag", step="1h"), "time tag")["v"], [1, 2, 3, 4, 5, 6])
 
 
+def test_segments_and_dispatch(spark):
+    from stormline.sources import feeds
+
+    assert feeds.segments("2024-01-01", "2024-01-20", "2024-01-10") == [("archive", "2024-01-01", "2024-01-09"), ("realtime", "2024-01-10", "2024-01-20")]
+    assert feeds.segments("2023-12-01", "2024-01-05", "2024-01-10", ("2024-01-01", "2024-01-03")) == [("archive", "2024-01-01", "2024-01-03")]
+    assert feeds.segments("2020-01-01", "2020-02-01", "2024-01-10", ("2021-01-01", None)) == [("realtime", "2020-01-01", "2020-02-01")]
+    rows = [(datetime(2024, 1, 5), "a", "f1", 1.0), (datetime(2024, 1, 12), "a", "f2", 2.0), (datetime(2024, 1, 12), "b", "f2", 3.0)]
+    df = spark.createDataFrame(rows, "event_time timestamp, satellite string, flare_id string, xrsb_flux double")
+    routed = feeds.route_segments(df.filter("satellite = 'a'"), df, "event_time", start="2024-01-01", end="2024-01-31", realtime_from="2024-01-10", archive_days=("2024-01-02", None))
+    kinds = {"archive": feeds.FEEDS["flares_archive"], "realtime": feeds.FEEDS["flares_realtime"]}
+    stored = {n: spark.createDataFrame([], k.schema) for n, k in kinds.items()}
+    out = feeds.dispatch(routed, stored, kinds, ["satellite"])
+    assert [r["flare_id"] for r in out["archive"].collect()] == ["f1"] and [(r["flare_id"], r["satellite"]) for r in out["realtime"].collect()] == [("f2", "b")]
+
+
+def test_high_water_marks_over_unnamed_times(spark):
+    from stormline.sources import feeds
+
+    df = spark.createDataFrame([("a", "2024-01-01", "x", 5), ("a", "2024-02-01", "2024-03-01", 6), ("b", None, "no", 7)], "source string, Obs_Date string, timeTag string, v int")
+    got = {r["source"]: r["latest_timestamp"] for r in feeds.high_water_mark(df, "source").collect()}
+    assert got == {"a": pd.Timestamp("2024-03-01"), "b": None}
+    assert feeds.high_water_mark(df, "source", ["Obs_Date", "absent"]).filter("source = 'a'").head()[1] == pd.Timestamp("2024-02-01")
+
+
+def test_split_bounds(spark):
+    from stormline.operators import quality as Q
+
+    df = spark.createDataFrame([("train", "2024-01-01 00:30:00"), ("train", "2024-01-02 01:00:00"), ("test", "2024-02-01 05:10:00")], "split string, t string").selectExpr("split", "CAST(t AS TIMESTAMP) AS ts")
+    assert Q.split_bounds(df, "ts", ("train", "test")) == {"train": ("2024-01-01 00:00:00", "2024-01-02 01:00:00"), "test": ("2024-02-01 05:00:00", "2024-02-01 06:00:00")}
+    with pytest.raises(ValueError, match="validation"):
+        Q.split_bounds(df, "ts")
+
+
 def test_intermediates_go_to_the_shared_folder(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
