@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -78,6 +79,45 @@ def test_links_are_complete(spark, radius, blocks, cell):
     assert {x: got.get(x, x) for x in fp} == {x: find(x) for x in fp}
 
 
+def grouped(spark, texts, **kw):
+    """Component by id, and the same from all pairs that some fingerprint and the exact similarity link."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    args = dict(k=5, radius=12, blocks=14, similarity=0.8) | kw
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(df, **args).collect()}
+    fp = simhash.batch_fingerprints(pa.array(texts), 5, args.get("many", 1)).reshape(len(texts), -1)
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = min(int(x).bit_count() for x in fp[i] ^ fp[j]) <= 12
+            if want[i] != want[j] and near and simhash.jaccard(texts[i], texts[j], 5) >= 0.8:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    return got, dict(enumerate(want)), fp
+
+
+def edited(rng, words, n):
+    """The words with n places changed."""
+    out = list(words)
+    for i in rng.choice(len(out), n, replace=False):
+        out[i] = f"new{rng.integers(1 << 40)}"
+    return out
+
+
+@pytest.mark.parametrize("cell, per_row", [(8192, 4), (7, 1)])
+def test_false_links_hide_no_true_one(spark, monkeypatch, cell, per_row):
+    """Half-similar texts within the radius stand between copies; links are found in rounds and in cells."""
+    monkeypatch.setattr(simhash, "LINKS_PER_ROW", per_row)
+    rng, texts = np.random.default_rng(5), []
+    for family in range(3):
+        base = [f"w{family}x{i}" for i in range(200)]
+        for _ in range(6):
+            like = edited(rng, base, 5)
+            texts += [" ".join(like), *(" ".join(edited(rng, like, 3)) for _ in range(2))]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    got, want, fp = grouped(spark, texts, cell_rows=cell)
+    false = [1 for i in range(len(texts)) for j in range(i) if int(fp[i, 0] ^ fp[j, 0]).bit_count() <= 12 and want[i] != want[j]]
+    assert got == want and len(set(want.values())) < len(texts) and len(false) > 20
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(400))
     random.Random(1).shuffle(order)
