@@ -118,6 +118,16 @@ def test_false_links_hide_no_true_one(spark, monkeypatch, cell, per_row):
     assert got == want and len(set(want.values())) < len(texts) and len(false) > 20
 
 
+def test_equal_fingerprints_are_no_similarity(spark):
+    """A phrase repeated more often than all else makes the fingerprint; the texts are not alike. Equal texts are."""
+    phrase = "the same few words come again and again " * 40
+    texts = [phrase + " ".join(f"own{i}x{j}" for j in range(60)) for i in range(4)]
+    texts += [texts[2], phrase + "one", phrase + "one more"]
+    got, want, fp = grouped(spark, texts)
+    assert len(set(fp[:4, 0].tolist())) < 4 or min(int(fp[i, 0] ^ fp[j, 0]).bit_count() for i in range(4) for j in range(i)) <= 5
+    assert got == want and want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: want[6]}
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(400))
     random.Random(1).shuffle(order)
