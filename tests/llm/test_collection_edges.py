@@ -128,6 +128,17 @@ def test_equal_fingerprints_are_no_similarity(spark):
     assert got == want and want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: want[6]}
 
 
+def test_more_fingerprints_find_more(spark):
+    rng, texts = np.random.default_rng(8), []
+    for i in range(120):
+        base = [f"w{i}x{j}" for j in range(200)]
+        texts += [" ".join(base), " ".join(edited(rng, base, 4))]
+    fp = simhash.batch_fingerprints(pa.array(texts), 5, 3)
+    assert (fp[:, 0] == simhash.batch_fingerprints(pa.array(texts), 5)).all()
+    (one, *_), (got, want, _) = grouped(spark, texts), grouped(spark, texts, many=corpus_pipeline.NEAR_PRINTS)
+    assert got == want and len(set(got.values())) < len(set(one.values()))
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(400))
     random.Random(1).shuffle(order)
