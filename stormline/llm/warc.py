@@ -118,6 +118,26 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return head, data[begin : begin + size], begin + size + 4
 
 
+def digest_of(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def entry(head: dict[str, str], body: bytes, payloads: bool = True) -> tuple:
+    """A row of RECORD. Length and digest of a response are those of the body read, which the headers must match; a revisit has
+    no body, and its headers' values."""
+    response = head["WARC-Type"] == "response"
+    size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:]
+    if response:
+        found = len(body), digest_of(body)
+        if found != (size, digest):
+            raise ValueError(f"record {head['WARC-Record-ID']}: payload of {found[0]} bytes, sha1 {found[1]}, but the headers say {size}, {digest}")
+        size, digest = found
+    return (
+        from_urn(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], from_urn(head.get("WARC-Refers-To")),
+        body if payloads and response else None,
+    )
+
+
 def revisits(pages: DataFrame, *, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """(page_id, sha, refers_to) of the records that revisit another; groups are found on digests alone."""
     body = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
@@ -159,7 +179,7 @@ def write(
                 if writer is None:
                     path, entries = f"{root}/{uuid.uuid4().hex}.warc.zst", []
                     writer = BundleWriter(store.open_output_stream(path, compression=None), frame_bytes)
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                digest = digest_of(payload)
                 data = record(page_id, url, payload, digest, refers_to, refers_to is not None)
                 entries.append((page_id, *writer.add(data), len(data)))
                 if writer.size >= archive_bytes:
@@ -173,7 +193,8 @@ def write(
 
 def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
     """All records of the archives that the index names: each task takes some archives and reads them frame by
-    frame, as their own seek tables say. With payloads=False the payload column is null."""
+    frame, as their own seek tables say. With payloads=False the payload column is null, but every
+    payload is still measured and hashed; one that differs from its headers is an error."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 
@@ -188,10 +209,7 @@ def read(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
                         data, rows, at = unpack.decompress(file.read(packed), max_output_size=plain), [], 0
                         while at < len(data):
                             head, body, at = parse(data, at)
-                            rows.append((
-                                from_urn(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:],
-                                head["WARC-Type"], from_urn(head.get("WARC-Refers-To")), body if payloads and head["WARC-Type"] == "response" else None,
-                            ))
+                            rows.append(entry(head, body, payloads))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     archives = index.select("archive").distinct().repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -212,10 +230,7 @@ def fetch(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
                     file.seek(at)
                     data = zstandard.ZstdDecompressor().decompressobj().decompress(file.read(size))
                 head, body, _ = parse(data, offset)
-                rows.append((
-                    from_urn(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:],
-                    head["WARC-Type"], from_urn(head.get("WARC-Refers-To")), body if head["WARC-Type"] == "response" else None,
-                ))
+                rows.append(entry(head, body))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 

@@ -348,3 +348,13 @@ def test_pipeline_stages(spark, docs, tmp_path, empty):
     kept = corpus_pipeline.keep_one(spark, docs, str(tmp_path)).collect()
     assert sum(r.doc_id == 3 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2 and not any(r.doc_id in (2, 4, 6) for r in kept)
     assert not any(r.doc_id in (7, 8) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect())
+
+
+def test_warc_damaged_payload_is_an_error():
+    body = b"<p>payload</p>"
+    good = warc.record(7, "http://a/", body, warc.digest_of(body), None, False)
+    assert warc.entry(*warc.parse(good)[:2], payloads=False) == (7, "http://a/", len(body), warc.digest_of(body), "response", None, None)
+    with pytest.raises(ValueError, match="urn:page:7"):
+        warc.entry(*warc.parse(good.replace(b"payload</p>", b"payl0ad</p>"))[:2])
+    with pytest.raises(ValueError, match="13 bytes"):
+        warc.entry(*warc.parse(good.replace(b"\r\nContent-Length: 14", b"\r\nContent-Length: 13"))[:2])
