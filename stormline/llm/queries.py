@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, exact_dedup, langid, line_dedup, packing, quality, simhash, suffix_dedup, url_filter, warc
+from . import bpe, decontam, exact_dedup, langid, lexical, line_dedup, packing, periodic, quality, simhash, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,10 +38,10 @@ def query(name: str, text: str | None = None):
     return wrap
 
 
-def tokenizer() -> dict[str, str]:
+def tokenizer(name: str = "byte_bpe_50k.json") -> dict[str, str]:
     import public_tokenizers
 
-    return {"path": public_tokenizers.path("byte_bpe_50k.json")}
+    return {"path": public_tokenizers.path(name)}
 
 
 @query("op1_url_filter", r"""
@@ -151,6 +151,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op11_lexical_search", r"""
+WITH read AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT r, doc_id, terms, len(terms)::BIGINT AS n FROM read WHERE len(terms) > 0),
+sizes AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM docs),
+counts AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY ALL),
+items AS (
+  SELECT row_number() OVER () AS i, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+wanted AS (SELECT i, item_id, unnest(list_distinct(terms)) AS term FROM items),
+held AS (SELECT term, count(*)::BIGINT AS df FROM counts WHERE term IN (SELECT term FROM wanted) GROUP BY term),
+weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM held, sizes),
+scored AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // total))))::BIGINT AS score
+  FROM wanted JOIN weighed USING (term) JOIN counts USING (term) JOIN docs USING (r), sizes GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op12_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), **path), **path)
+    n = F.size("ids").cast("bigint").alias("n_tokens")
+    return out.select("doc_id", n, F.sha2("decimal", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = periodic.with_tail_repeated(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    out = periodic.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", changed.alias("text")), min_length=6, min_periods=4)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = out.withColumn("best", best)
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(periodic.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
