@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .words import slices
 
-CACHE_PARTS, CACHE_BYTES, CACHE_PAIRS = 400_000, 64, 1 << 20
+CACHE_PARTS, CACHE_BYTES, CACHE_PAIRS = 250_000, 64, 1 << 20
+PLAIN = "\u0250"  # characters before this one are normalised as they are, and of one kind in every version of Unicode
 END = 256  # a byte b that ends a word is the symbol b + END
 
 
@@ -98,7 +100,15 @@ class Merges:
 
     def encode(self, word: str) -> list[int]:
         """Ids of one word, given as symbols that all are in the alphabet."""
-        longest, size, shorter, fits = [0] * (len(word) + 1), self.size, self.shorter, self.fits
+        size, shorter, fits, agree, base = self.size, self.shorter, self.fits, self.agree, len(self.symbols)
+        chain = [token for _, token in self.automaton.iter_long(word)]  # longest matches, one behind another
+        for a, b in zip(chain, chain[1:]):
+            if not (agree.get(a * base + b) or fits(a, b)):
+                break
+        else:
+            if sum([size[token] for token in chain]) == len(word):
+                return chain
+        longest = [0] * (len(word) + 1)
         for end, token in self.automaton.iter(word):  # of matches from one place the longest comes last
             longest[end - size[token] + 1] = token
         closed = bytearray(len(word) + 1)
@@ -106,7 +116,7 @@ class Merges:
         at, token = 0, longest[0]
         while at < len(word):
             end = at + size[token]
-            if not closed[end] and (not out or fits(out[-1], token)):
+            if not closed[end] and (not out or agree.get(key := out[-1] * base + token) or key not in agree and fits(out[-1], token)):
                 out.append(token)
                 at, token = end, longest[end]
                 continue
@@ -119,6 +129,33 @@ class Merges:
         return out
 
 
+class Recent:
+    """At most twice `size` remembered values; when `new` is full it becomes `old`, from which what is used again comes back."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new.copy(), self.new
+            self.new.clear()
+        self.new[key] = value
+
+
+def simple_words(rules: dict):
+    """A function from lower-cased text of plain characters to its words, where the file's rules are known to come to that; else None."""
+    steps = {x: [(r["type"], r.get("pattern", {}).get("Regex"), r.get("content"), r.get("behavior"), r.get("invert"), r.get("add_prefix_space"), r.get("use_regex"))
+                 for r in (rules.get(x) or {}).get(y, [])] for x, y in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))}
+    blank = (None, None, None, None)
+    kept = [("NFC", None, None, *blank), ("Replace", r"\s+", " ", *blank), ("Lowercase", None, None, *blank)]
+    match steps["pre_tokenizer"]:
+        case [("Split", str(pattern), None, "Removed", True, None, None), ("ByteLevel", None, None, None, None, False, False)] if steps["normalizer"] == kept:
+            import regex
+
+            return regex.compile(pattern).findall
+    return None
+
+
 class Encoder:
     """Token ids of whole texts, as the tokenizers library gives them for the file at `path`."""
 
@@ -143,33 +180,40 @@ class Encoder:
         self.cut = own.pre_tokenizer.pre_tokenize_str
         self.added = {t["content"]: t["id"] for t in added}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        self.parts: dict[bytes, bytes] = {}
-        self.cache_parts = cache_parts
-
-    def word(self, piece: str) -> list[int]:
-        """Ids of a word in the letters of the vocabulary."""
-        codes = [self.letters[c] for c in piece]
-        if self.mark and codes:
-            codes[-1] += END
-        return self.merges.encode("".join(map(chr, codes)))
-
-    def plain(self, text: str) -> list[int]:
-        return [i for piece, _ in self.cut(self.normalise(text)) for i in self.word(piece)]
+        self.simple = simple_words(rules)
+        self.parts, self.words = Recent(cache_parts), Recent(cache_parts)
+
+    def word(self, symbols: str) -> bytes:
+        """Ids of a word, one symbol per byte, still without the end mark; as 32-bit numbers."""
+        ids = self.words.old.get(symbols)
+        if ids is None:
+            marked = symbols[:-1] + chr(ord(symbols[-1]) + END) if self.mark else symbols
+            ids = array("I", self.merges.encode(marked)).tobytes()
+        if len(symbols) <= CACHE_BYTES:
+            self.words.put(symbols, ids)
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        if self.simple and (text.isascii() or max(text) < PLAIN):
+            pieces = [x.encode().decode("latin-1") for x in self.simple(text.lower())]
+        else:
+            pieces = ["".join([chr(self.letters[c]) for c in piece]) for piece, _ in self.cut(self.normalise(text))]
+        get, word = self.words.new.get, self.word
+        return b"".join([get(piece) or word(piece) for piece in pieces])
 
     def part(self, raw: bytes) -> bytes:
         """Ids of a part without ASCII white space, as 32-bit numbers."""
-        text, ids = raw.decode(), []
-        for at, piece in enumerate(self.split.split(text) if self.split else [text]):
-            ids += [self.added[piece]] if at % 2 else self.plain(piece) if piece else []
-        out = np.array(ids, "<u4").tobytes()
+        out = self.parts.old.get(raw)
+        if out is None:
+            text = raw.decode()
+            pieces = self.split.split(text) if self.split and self.split.search(text) else [text]
+            out = b"".join([array("I", [self.added[x]]).tobytes() if at % 2 else self.plain(x) for at, x in enumerate(pieces) if x])
         if len(raw) <= CACHE_BYTES:
-            if len(self.parts) >= self.cache_parts:
-                self.parts.clear()
-            self.parts[raw] = out
+            self.parts.put(raw, out)
         return out
 
     def __call__(self, text: str) -> np.ndarray:
-        get, part = self.parts.get, self.part
+        get, part = self.parts.new.get, self.part
         return np.frombuffer(b"".join([x if (x := get(p)) is not None else part(p) for p in text.encode().split()]), "<u4")
 
 
