@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["scan", "rows", "joins", "aggregates", "windows", "segments", "scalars", "domain", "labels", "models", "refresh"]
+MODULES = ["scan", "landed", "rows", "joins", "aggregates", "windows", "segments", "scalars", "domain", "labels", "models", "refresh"]
 
 
 def load() -> tuple[dict, dict]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, timedelta
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from stormline.operators.quality import clean_doubles
 from stormline.operators.upsert import evolve, upsert_ignore, upsert_replace
+from stormline.sources import text
 
 TIME_NAMES = ("time_tag", "timestamp", "date")
 
@@ -28,7 +30,7 @@ def _schema(time: str, doubles: Sequence[str], strings: Sequence[str] = ("source
 
 @dataclass(frozen=True)
 class Feed:
-    """A feed: schema, key, time column, what wins on conflict, and how landed rows are parsed."""
+    """A feed: schema, key, time column, what wins on conflict, and how landed lines (or documents) are parsed."""
 
     name: str
     schema: T.StructType
@@ -36,33 +38,64 @@ class Feed:
     time: str = "time_tag"
     conflict: str = "replace"
     parse: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
+    documents: bool = False
 
     def shape(self, df: DataFrame) -> DataFrame:
         """Parsed rows in the feed's schema: absent columns NULL, NaN and infinities NULL, bad times dropped."""
-        return clean_doubles(project_reindex(self.parse(df), self.schema)).filter(F.col(self.time).isNotNull())
+        return clean_doubles(project_reindex(df, self.schema)).filter(F.col(self.time).isNotNull())
+
+    def rows(self, landed: DataFrame) -> DataFrame:
+        """Landed `(file, seq, line, month)`, or `(file, payload, month)` for a feed of documents, as rows of the feed."""
+        return self.shape(self.parse(landed))
 
     def upsert(self, old: DataFrame, new: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
         write = upsert_replace if self.conflict == "replace" else upsert_ignore
         return write(old, new, self.key, order)
 
 
+def _series(*cols: str, **renamed: str) -> dict:
+    """Documents that hold a series; `renamed` gives the document's name of a column, or several to choose from."""
+    names = [*cols, *renamed]
+
+    def parse(docs: DataFrame) -> DataFrame:
+        rows = text.parse_json_series(docs, "payload", ("time_tag", "time", "datetime"), names)
+        targets = dict.fromkeys([*cols, *renamed.values()])
+        return rows.select("time_tag", *[F.coalesce(*[F.col(n) for n in names if renamed.get(n, n) == c]).alias(c) for c in targets])
+
+    return {"parse": parse, "documents": True}
+
+
+def _hourly(lines: DataFrame) -> DataFrame:
+    """Plain lines, and the `<pre>` blocks of pages."""
+    page = F.col("file").rlike(r"\.html?$")
+    plain = text.parse_hourly_matrix(lines.filter(~page), F.col("month"), keep=("file", "seq", "month"))
+    return plain.unionByName(text.parse_pre_block(lines.filter(page), F.col("month"), keep=("file", "seq", "month")))
+
+
+def _catalogue(lines: DataFrame) -> DataFrame:
+    cells = text.parse_pipe_catalogue(lines).join(lines.select("file", "seq", "month"), ["file", "seq"])
+    months = cells.select("file", "seq", "month")
+    return text.catalogue_rows(cells.drop("month"), F.lit(None)).drop("catalog_month").join(months, ["file", "seq"]).withColumnRenamed("month", "catalog_month")
+
+
 # Schemas, keys and conflict rules of the feeds.
 _FLARE = ("peak_flux_wm2", "xrsb_flux", "background_flux", "integrated_flux")
 
 FEEDS: dict[str, Feed] = {
     f.name: f
     for f in (
-        Feed("dst", _schema("time_tag", ["dst"])),
-        Feed("kp_index", _schema("time_tag", ["kp_index"])),
-        Feed("sunspot_number", _schema("time_tag", ["sunspot_number"])),
-        Feed("radio_flux", _schema("time_tag", ["observed_flux", "adjusted_flux", "ursi_flux"])),
-        Feed("imf_a", _schema("time_tag", ["bx_gsm", "by_gsm", "bz_gsm", "bt"])),
-        Feed("imf_b", _schema("time_tag", ["bt", "bx", "by", "bz"]), conflict="ignore"),
-        Feed("plasma_a", _schema("time_tag", ["density", "speed", "temperature"]), conflict="ignore"),
-        Feed("plasma_b", _schema("time_tag", ["density", "speed", "temperature"]), conflict="ignore"),
+        Feed("dst", _schema("time_tag", ["dst"]), parse=_hourly),
+        Feed("kp_index", _schema("time_tag", ["kp_index"]), **_series(kp="kp_index")),
+        Feed("sunspot_number", _schema("time_tag", ["sunspot_number"]), **_series("sunspot_number", ssn="sunspot_number")),
+        Feed("radio_flux", _schema("time_tag", ["observed_flux", "adjusted_flux", "ursi_flux"]), parse=lambda lines: text.parse_flux_table(lines)),
+        Feed("imf_a", _schema("time_tag", ["bx_gsm", "by_gsm", "bz_gsm", "bt"]), **_series("bx_gsm", "by_gsm", "bz_gsm", "bt")),
+        Feed("imf_b", _schema("time_tag", ["bt", "bx", "by", "bz"]), conflict="ignore", **_series("bt", bx_gsm="bx", by_gsm="by", bz_gsm="bz")),
+        Feed("plasma_a", _schema("time_tag", ["density", "speed", "temperature"]), conflict="ignore", **_series("density", "speed", "temperature")),
+        Feed("plasma_b", _schema("time_tag", ["density", "speed", "temperature"]), conflict="ignore", **_series("density", "speed", "temperature")),
         Feed(
             "xray_flux",
             _schema("time_tag", ["irradiance_xrsa1", "irradiance_xrsa2", "irradiance_xrsb1", "irradiance_xrsb2", "xrs_ratio"]),
+            **_series("irradiance_xrsa1", "irradiance_xrsa2", "irradiance_xrsb1", "irradiance_xrsb2", "xrs_ratio"),
         ),
         Feed(
             "cme",
@@ -72,23 +105,41 @@ FEEDS: dict[str, Feed] = {
                 ["event_id", "cme_number", "halo_class", "source_type"],
             ).add("catalog_month", T.DateType()),
             key=("event_id",),
+            parse=_catalogue,
         ),
         Feed(
             "flares_realtime",
             _schema("event_time", _FLARE, ["flare_id", "flare_class", "status", "source_day", "satellite"]),
             key=("flare_id",),
             time="event_time",
+            parse=text.parse_flare_lines,
         ),
         Feed(
             "flares_archive",
             _schema("event_time", _FLARE, ["flare_id", "flare_class", "status", "satellite", "source_day", "file_url"]),
             key=("flare_id", "event_time"),
             time="event_time",
+            parse=text.parse_flare_lines,
         ),
     )
 }
 
 
+def read_feed(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """Rows of a folder of landed files, read by Spark itself; `landed.py` has the same as a data source.
+
+    The month of a file is the first year and month in its path below the folder.
+    """
+    feed = FEEDS[name]
+    if feed.documents:
+        files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+    else:
+        files = text.read_lines(spark, path)
+    below = F.regexp_replace("file", F.lit(".*" + re.escape(path.rstrip("/").split("://")[-1])), F.lit(""))
+    parts = [F.regexp_extract(below, r"(?<!\d)([1-9]\d{3})[-_]?(0[1-9]|1[0-2])", i) for i in (1, 2)]
+    return feed.rows(files.withColumn("month", F.when(parts[0] != "", F.concat(parts[0], F.lit("-"), parts[1], F.lit("-01"))).cast("date")))
+
+
 def project_reindex(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the schema's columns, cast; columns the frame lacks are NULL."""
     return df.select(
@@ -255,6 +306,6 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
 
 __all__ = [
     "FEEDS", "Feed", "advance_marks", "days_between", "detect_time", "dispatch", "effective", "evolve", "high_water_mark", "pending_windows",
-    "project_listed", "project_reindex", "read_stage", "route_segments", "scan_timeseries", "segments", "snapshot_latest",
+    "project_listed", "project_reindex", "read_feed", "read_stage", "route_segments", "scan_timeseries", "segments", "snapshot_latest",
     "source_breakdown", "time_between", "time_like", "write_report", "write_stage", "write_tail",
 ]

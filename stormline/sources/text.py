@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stormline.functions.lookup import class_to_flux
 from stormline.functions.times import event_id
 from stormline.operators.fill import carry
 from stormline.operators.quality import within_or_null
@@ -35,7 +36,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     A large file is read by many tasks: lines are numbered within their split, and the splits' line counts, one row
     per split, are summed up in the order of the splits.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
     )
     splits = lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -78,8 +79,8 @@ def parse_pipe_catalogue(lines: DataFrame) -> DataFrame:
     return body.select("file", "seq", F.map_from_arrays(heads, padded).alias("cells"))
 
 
-def normalize_catalogue(parsed: DataFrame, month: Column, first: str, last: str) -> DataFrame:
-    """Named, typed catalogue rows within a range of days, one per event id (the first one met)."""
+def catalogue_rows(parsed: DataFrame, month: Column) -> DataFrame:
+    """Named, typed catalogue rows with their event id; rows without a time drop out."""
     named = parsed.select("file", "seq", month.cast("date").alias("catalog_month"), *[
         F.try_element_at("cells", F.lit(h)).alias(n) for h, n in CATALOGUE_NAMES.items()
     ])
@@ -89,10 +90,26 @@ def normalize_catalogue(parsed: DataFrame, month: Column, first: str, last: str)
         "cme_number": F.trim("cme_number"),
         **{c: F.trim(c).try_cast("double") for c in CATALOGUE_NUMBERS},
     })
+    return typed.filter("time_tag IS NOT NULL").withColumn("event_id", event_id(F.col("time_tag"), F.col("cme_number")))
+
+
+def normalize_catalogue(parsed: DataFrame, month: Column, first: str, last: str) -> DataFrame:
+    """Named, typed catalogue rows within a range of days, one per event id (the first one met)."""
     after = F.date_add(F.lit(last).cast("date"), 1).cast("timestamp")
-    ranged = typed.filter((F.col("time_tag") >= F.lit(first).cast("timestamp")) & (F.col("time_tag") < after))
-    named_events = ranged.withColumn("event_id", event_id(F.col("time_tag"), F.col("cme_number")))
-    return dedupe_first(named_events, ["event_id"], ["file", "seq"]).drop("file", "seq")
+    rows = catalogue_rows(parsed, month)
+    ranged = rows.filter((F.col("time_tag") >= F.lit(first).cast("timestamp")) & (F.col("time_tag") < after))
+    return dedupe_first(ranged, ["event_id"], ["file", "seq"]).drop("file", "seq")
+
+
+def parse_flare_lines(lines: DataFrame) -> DataFrame:
+    """One JSON object a line; the peak flux is that of the class, else the long channel's flux. Rows without id or time drop out."""
+    texts, numbers = ("flare_id", "flare_class", "status", "source_day", "satellite", "file_url"), ("xrsb_flux", "background_flux", "integrated_flux")
+    r = F.from_json("line", ", ".join(f"{c} string" for c in ("time", "event_time", *texts, *numbers)))
+    rows = lines.select(r.alias("r")).select("r.*")
+    at = F.try_to_timestamp(F.coalesce(F.nullif("time", F.lit("")), F.col("event_time")))
+    rows = rows.select(at.alias("event_time"), *texts, *[F.col(c).try_cast("double").alias(c) for c in numbers])
+    peak = class_to_flux(F.trim("flare_class"), F.col("xrsb_flux"))
+    return rows.withColumn("peak_flux_wm2", peak).filter("event_time IS NOT NULL AND flare_id <> ''")
 
 
 def _hours(rows: DataFrame, values: Column, keep: Sequence[str], month: Column, pad: bool) -> DataFrame:

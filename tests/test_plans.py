@@ -51,7 +51,8 @@ def test_only_needed_columns_are_read(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
 
 
-WRITES = {  # sinks, streams, model fits and statistics that reach the driver run jobs while they are built
+LANDED = {"landed_dst", "landed_cme", "landed_kp_index", "landed_radio_flux", "landed_flares"}  # their files are written first
+WRITES = LANDED | {  # sinks, streams, model fits and statistics that reach the driver run jobs while they are built
     "train_horizon", "prune_features", "score_splits", "forecast_horizons", "design_matrix", "sink_roundtrip", "report_files", "isotonic_calibrate",
     "corr_pairs", "top_pairs", "vif", "vif_dependent", "condition_number", "near_degenerate", "require_complete",
 }
