@@ -12,6 +12,7 @@ from stormline.operators.events import interval_labels
 from stormline.operators.fill import asof_join, exact_then_ffill
 from stormline.operators.quality import temporal_split
 from stormline.operators.segments import crossings
+from stormline.session import shared_folder
 
 from .fixtures import dst, feed, gridded, hourly, kp, r6, rounded, table, wide
 from .registry import query
@@ -24,11 +25,13 @@ def _split(df):
     return temporal_split(df, "ts", WINDOWS)
 
 
-@query("merge_features", sql(
+_MERGED = sql(
     f"""SELECT * FROM (SELECT ts, CASE {_CASE} END AS split, {s6('w.bz')} AS imf_bz, {s6('w.speed')} AS imf_speed, {s6('dst')} AS dst_dst, {s6('kp')} AS kp_kp, {s6('a.v')} AS flux_v, {s6('b.v')} AS xray_v, n AS ssn_n
         FROM WIDE w JOIN DST USING (ts) JOIN KP USING (ts) JOIN FEED_A a USING (ts) JOIN FEED_B b USING (ts) JOIN (SELECT ts, n FROM H WHERE k = 'signup') USING (ts)) WHERE split IS NOT NULL""",
-    "WIDE", "DST", "KP", "FEED_A", "FEED_B"))
-def merge_features(spark, sf_dir):
+    "WIDE", "DST", "KP", "FEED_A", "FEED_B")
+
+
+def _six_feeds(spark, sf_dir):
     frames = {
         "imf": rounded(wide(spark, sf_dir).select("ts", "bz", "speed"), "bz", "speed"),
         "dst": rounded(dst(spark, sf_dir), "dst"),
@@ -37,7 +40,22 @@ def merge_features(spark, sf_dir):
         "xray": rounded(feed(spark, sf_dir, "view"), "v"),
         "ssn": hourly(spark, sf_dir).filter("k = 'signup'").select("ts", "n"),
     }
-    return J.merge_features({n: _split(df) for n, df in frames.items()}, ["split", "ts"])
+    return {n: _split(df) for n, df in frames.items()}
+
+
+@query("merge_features", _MERGED)
+def merge_features(spark, sf_dir):
+    return J.merge_features(_six_feeds(spark, sf_dir), ["split", "ts"])
+
+
+@query("merge_bucketed", _MERGED)
+def merge_bucketed(spark, sf_dir):
+    """The six feeds as bucketed tables, merged without an exchange."""
+    folder, on = shared_folder(spark), ["split", "ts"]
+    names = {n: f"six_{folder[-32:]}_{n}" for n in ("imf", "dst", "kp", "flux", "xray", "ssn")}
+    for n, df in _six_feeds(spark, sf_dir).items():
+        J.write_bucketed(df, names[n], on, path=f"{folder}/{n}")
+    return J.merge_bucketed(names, on, spark)
 
 
 @query("join_labels", sql(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,16 +17,32 @@ def merge_features(frames: dict[str, DataFrame], on: Sequence[str]) -> DataFrame
     """Inner merge of several feeds on their time; every feed's columns get its name as prefix.
 
     All joins have the same key, so after the first exchange of each side Spark keeps the
-    partitioning through the chain.  Frames written with `write_bucketed` on the same key skip the
-    exchanges too.
+    partitioning through the chain.  Feeds that are merged again and again go through `write_bucketed`
+    and `merge_bucketed`.
     """
     named = [prefix_columns(df, name, on) for name, df in frames.items()]
     return reduce(lambda a, b: a.join(b, list(on), "inner"), named)
 
 
-def write_bucketed(df: DataFrame, table: str, on: Sequence[str], buckets: int) -> None:
-    """Save a frame bucketed and sorted by the merge key, for shuffle-free merges later."""
-    df.write.mode("overwrite").bucketBy(buckets, *on).sortBy(*on).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, on: Sequence[str], buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """Save a frame as a catalogue table bucketed and sorted by the merge key, and return it as read back.
+
+    The rows are dealt by the key first, with the hash that buckets use, so each bucket is one file, sorted as a whole.
+    Tables that are to be merged need equal keys and numbers of buckets (default: the session's shuffle partitions).
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *on).sortWithinPartitions(*on)
+    writer = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *on).sortBy(*on)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
+
+
+def merge_bucketed(tables: dict[str, str], on: Sequence[str], spark: SparkSession) -> DataFrame:
+    """`merge_features` over tables of `write_bucketed`: merge joins along the buckets, without an exchange or a sort."""
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a bucket is one sorted file
+    named = [prefix_columns(spark.table(table), name, on) for name, table in tables.items()]
+    return reduce(lambda a, b: a.join(b.hint("merge"), list(on), "inner"), named)
 
 
 def join_labels(features: DataFrame, labels: DataFrame, *, keys: Sequence[str], ts: str, floor: str | None = None) -> DataFrame:

@@ -6,22 +6,22 @@ and each feed's features - are written once to the shared folder; everything els
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormline.functions.lookup import kp_to_ap
 from stormline.operators import quality as Q
 from stormline.operators.chunks import Span
 from stormline.operators.events import greedy_spacing, hazard_labels, storm_onsets
-from stormline.operators.joins import join_labels, merge_features, outer_join_hour
+from stormline.operators.joins import join_labels, merge_bucketed, outer_join_hour, write_bucketed
 from stormline.operators.resample import resample_last, resample_mean
 from stormline.operators.segments import drop_long_missing
 from stormline.operators.sets import latest_n, preferred
 from stormline.operators.upsert import combine_priority
-from stormline.session import materialise
+from stormline.session import materialise, shared_folder
 
 from . import features as D
 from . import horizons as M
@@ -49,6 +49,8 @@ class Plan:
     ssn_trend_rows: int = 1296
     storm_ap: float = 39.0
     storm_dst: float = -50.0
+    tables: str | None = None
+    buckets: int | None = None
 
     @property
     def raw(self) -> dict:
@@ -127,8 +129,27 @@ def xray_stage(raw: DataFrame, plan: Plan) -> DataFrame:
 
 
 def design_matrix(features: dict[str, DataFrame], plan: Plan) -> DataFrame:
-    """Hours that every feed covers, with all feeds' features side by side."""
-    return merge_features({name: materialise(df) for name, df in features.items()}, plan.on)
+    """Hours that every feed covers, with all feeds' features side by side.
+
+    Each feed's features become a table bucketed and sorted by series, split and time, in the shared folder; with
+    `plan.tables` they are named `<tables>_<feed>` and stay for later merges (training, scoring), which read them with
+    `merged_tables` and shuffle nothing.
+    """
+    spark = next(iter(features.values())).sparkSession
+    folder = shared_folder(spark)
+    names = table_names(features, plan.tables or f"merge_{folder[-32:]}")
+    for name, df in features.items():
+        write_bucketed(df, names[name], plan.on, plan.buckets, path=f"{folder}/{name}")
+    return merge_bucketed(names, plan.on, spark)
+
+
+def table_names(feeds: Iterable[str], tables: str) -> dict[str, str]:
+    return {name: f"{tables}_{name}" for name in feeds}
+
+
+def merged_tables(spark: SparkSession, feeds: Iterable[str], plan: Plan) -> DataFrame:
+    """The merge of tables that `design_matrix` has left under `plan.tables`."""
+    return merge_bucketed(table_names(feeds, plan.tables), plan.on, spark)
 
 
 def label_stage(dst: DataFrame, kp: DataFrame, plan: Plan, horizons: int = 8) -> DataFrame:

@@ -52,7 +52,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 LANDED = {"landed_dst", "landed_cme", "landed_kp_index", "landed_radio_flux", "landed_flares"}  # their files are written first
-WRITES = LANDED | {  # sinks, streams, model fits and statistics that reach the driver run jobs while they are built
+WRITES = LANDED | {"merge_bucketed"} | {  # sinks, streams, model fits and statistics that reach the driver run jobs while they are built
     "train_horizon", "prune_features", "score_splits", "forecast_horizons", "design_matrix", "sink_roundtrip", "report_files", "isotonic_calibrate",
     "corr_pairs", "top_pairs", "vif", "vif_dependent", "condition_number", "near_degenerate", "require_complete",
 }
@@ -68,3 +68,9 @@ def test_building_a_query_runs_no_job(spark, name):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert not context.statusTracker().getJobIdsForGroup(f"build {name}")
+
+
+def test_bucketed_merge_moves_nothing(spark):
+    text = plan(spark, "merge_bucketed")
+    assert text.count("SortMergeJoin") == 5 and "Bucketed: true" in text
+    assert "Exchange" not in text and "Sort [" not in text and "Broadcast" not in text
