@@ -23,6 +23,7 @@ from ..session import materialise
 
 LIMIT, END_ID = 1024, 0
 RUN_PIECES = 200_000
+RUN_IDS = 1 << 24
 CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -184,8 +185,12 @@ def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to written pieces. A full window is a sequence of its own."""
+def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES, where_they_lie: bool = False) -> DataFrame:
+    """Adds sequence_id and offset to pieces. A full window is a sequence of its own.
+
+    Written pieces are dealt anew, which evens out the tasks. `where_they_lie` packs each task's own pieces, so that ids
+    that travel with them are not shuffled.
+    """
     names = parts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id bigint, offset bigint"
 
@@ -214,7 +219,7 @@ def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES)
         if held:
             yield from pack()
 
-    dealt = parts.repartition("row").sortWithinPartitions("row", "start")
+    dealt = parts if where_they_lie else parts.repartition("row").sortWithinPartitions("row", "start")
     return dealt.mapInArrow(run, schema).select(*names, "sequence_id", "offset")
 
 
@@ -224,5 +229,7 @@ def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str =
     Null texts are empty; with an end id they still hold that one token. Rows that share an id are packed each on
     its own. Other columns are ignored. Sequences hold at most `limit` tokens, their offsets leave no gap.
     """
-    parts = materialise(pieces(docs, path=path, id_col=id_col, text_col=text_col, limit=limit, end_id=end_id, ids=ids))
-    return place(parts, limit=limit).drop("row")
+    parts = pieces(docs, path=path, id_col=id_col, text_col=text_col, limit=limit, end_id=end_id, ids=ids)
+    if ids:  # in runs of bounded size: a piece has at most `limit` ids
+        return place(parts, limit=limit, run_pieces=max(1, RUN_IDS // limit), where_they_lie=True).drop("row")
+    return place(materialise(parts), limit=limit).drop("row")
