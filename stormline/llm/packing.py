@@ -23,7 +23,7 @@ from ..session import materialise
 
 LIMIT, END_ID = 1024, 0
 RUN_PIECES = 200_000
-RUN_IDS = 1 << 24
+RUN_IDS = 1 << 22
 CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -155,13 +155,8 @@ def cut(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return [(at, min(limit, n - at)) for at in range(0, n, limit)]
 
 
-def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
-    """(id_col, row, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document, before packing.
-
-    `row` tells rows apart that share an id. The tokenizer's files are read where the tasks run, from `path`.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * ids
+def _pieces(path: str, id_col: str, limit: int, end_id: int | None, ids: bool):
+    """From batches (id, row, text) to batches of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
@@ -182,17 +177,27 @@ def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str
                     arrays = [part.column(0).take(which), part.column(1).take(which), *[pa.array(c, pa.int64()) for c in cols[1:5]], *more]
                     yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids)
 
-    return docs.select(id_col, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return run
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, ids: bool) -> tuple[DataFrame, str]:
+    """(id, row, text), and the schema of their pieces."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * ids
+    return docs.select(id_col, F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")), schema
 
 
-def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES, where_they_lie: bool = False) -> DataFrame:
-    """Adds sequence_id and offset to pieces. A full window is a sequence of its own.
+def pieces(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
+    """(id_col, row, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document, before packing.
 
-    Written pieces are dealt anew, which evens out the tasks. `where_they_lie` packs each task's own pieces, so that ids
-    that travel with them are not shuffled.
+    `row` tells rows apart that share an id. The tokenizer's files are read where the tasks run, from `path`.
     """
-    names = parts.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id bigint, offset bigint"
+    rows, schema = _rows(docs, id_col, text_col, ids)
+    return rows.mapInArrow(_pieces(path, id_col, limit, end_id, ids), schema)
+
+
+def _placed(limit: int, run_pieces: int):
+    """From batches of pieces to the same with sequence_id and offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,8 +224,13 @@ def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES,
         if held:
             yield from pack()
 
-    dealt = parts if where_they_lie else parts.repartition("row").sortWithinPartitions("row", "start")
-    return dealt.mapInArrow(run, schema).select(*names, "sequence_id", "offset")
+    return run
+
+
+def place(parts: DataFrame, *, limit: int = LIMIT, run_pieces: int = RUN_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to written pieces. A full window is a sequence of its own."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id bigint, offset bigint"
+    return parts.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_placed(limit, run_pieces), schema)
 
 
 def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
@@ -229,7 +239,9 @@ def pack(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str =
     Null texts are empty; with an end id they still hold that one token. Rows that share an id are packed each on
     its own. Other columns are ignored. Sequences hold at most `limit` tokens, their offsets leave no gap.
     """
-    parts = pieces(docs, path=path, id_col=id_col, text_col=text_col, limit=limit, end_id=end_id, ids=ids)
-    if ids:  # in runs of bounded size: a piece has at most `limit` ids
-        return place(parts, limit=limit, run_pieces=max(1, RUN_IDS // limit), where_they_lie=True).drop("row")
-    return place(materialise(parts), limit=limit).drop("row")
+    if ids:  # ids are not shuffled: each task packs its own pieces, of at most `limit` ids, in runs of bounded size
+        rows, schema = _rows(docs, id_col, text_col, ids)
+        cut_up, placed = _pieces(path, id_col, limit, end_id, ids), _placed(limit, max(1, RUN_IDS // limit))
+        return rows.mapInArrow(lambda batches: placed(cut_up(batches)), schema + ", sequence_id bigint, offset bigint").drop("row")
+    parts = materialise(pieces(docs, path=path, id_col=id_col, text_col=text_col, limit=limit, end_id=end_id))
+    return place(parts, limit=limit).drop("row")
