@@ -135,7 +135,7 @@ def test_more_fingerprints_find_more(spark):
         texts += [" ".join(base), " ".join(edited(rng, base, 4))]
     fp = simhash.batch_fingerprints(pa.array(texts), 5, 3)
     assert (fp[:, 0] == simhash.batch_fingerprints(pa.array(texts), 5)).all()
-    (one, *_), (got, want, _) = grouped(spark, texts), grouped(spark, texts, many=corpus_pipeline.NEAR_PRINTS)
+    (one, *_), (got, want, _) = grouped(spark, texts), grouped(spark, texts, many=3)
     assert got == want and len(set(got.values())) < len(set(one.values()))
 
 
