@@ -11,12 +11,12 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormline.llm import decontam, line_dedup, packing, quality, simhash
+from stormline.llm import decontam, line_dedup, packing, quality, sketches
 from stormline.llm.queries import table, tokenizer
 from stormline.session import materialise, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS, NEAR_BLOCKS, NEAR_PRINTS = 5, 0.8, 12, 14, 3
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id cannot be told apart and all stay.
     """
-    groups = simhash.near_duplicates(docs, k=NEAR_WORDS, radius=NEAR_RADIUS, blocks=NEAR_BLOCKS, similarity=NEAR_SIMILARITY, many=NEAR_PRINTS)
+    groups = sketches.near_duplicates(docs, k=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     ids = materialise(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")))
     copies = materialise(ids.filter("doc_id <> component").select("doc_id"))
     kept = docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)  # one plan at every size
