@@ -31,7 +31,7 @@ from .simhash import _by_group, _shared, _under, ahead, similar
 from .words import BASE, mixed, shingle_rows, slices, word_hashes, words
 
 PRINTS, TABLES, KEY_BITS, FIRST, SLICED = 8, 36, 13, 4, 128
-CELL_ROWS, BLOCK_WORDS, PARTS, LINKS_PER_ROW, DEVIATIONS = 32768, 4096, 1 << 20, 1, 4
+CELL_ROWS, BLOCK_WORDS, PARTS, LINKS_PER_ROW, SLICED_DEVIATIONS, DEVIATIONS = 32768, 4096, 1 << 20, 1, 4, 2.5
 SKETCH = [f"s{i}" for i in range(PRINTS)]
 
 
@@ -67,10 +67,10 @@ def sketches(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return size, name, out
 
 
-def radius(similarity: float, bits: int) -> int:
-    """The expected number of differing bits at this Jaccard similarity, and `DEVIATIONS` standard deviations more."""
+def radius(similarity: float, bits: int, deviations: float) -> int:
+    """The expected number of differing bits at this Jaccard similarity, and so many standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def planes(bits: np.ndarray) -> np.ndarray:
@@ -101,12 +101,19 @@ def within(sliced: np.ndarray, shifts: np.ndarray, live: np.ndarray, most: int)
     return ~over
 
 
+def first_table(apart: np.ndarray) -> np.ndarray:
+    """The first table whose key has none of the differing bits (of pairs that meet somewhere)."""
+    bits = np.unpackbits(np.ascontiguousarray(apart).view(np.uint8), axis=1, bitorder="little", count=TABLES * KEY_BITS)
+    return (~bits.reshape(-1, TABLES, KEY_BITS).any(axis=2)).argmax(axis=1)
+
+
 def meetings(
-    sketch: np.ndarray, size: np.ndarray, group: np.ndarray, label: np.ndarray, side: np.ndarray, start: np.ndarray, limit: int, similarity: float
+    sketch: np.ndarray, size: np.ndarray, group: np.ndarray, table: np.ndarray, label: np.ndarray, side: np.ndarray, start: np.ndarray, limit: int, similarity: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, go): candidates among rows of equal group (sorted) with different labels, whose places in the group are at least `start` apart.
 
-    Rows with the same side other than 0 are not compared. A group that has reported `limit` links per row stops behind the
+    Rows with the same side other than 0 are not compared, and a pair counts only in the first table in which it meets, so that
+    the tables report it once. A group that has reported `limit` links per row stops behind the
     distance of places reached; `go` is the distance from which it goes on, 0 for a group that is through.
     """
     n = len(group)
@@ -115,9 +122,9 @@ def meetings(
     order = np.argsort(-np.repeat(count, count), kind="stable")  # large groups first, so that few words stay for long shifts
     left = (np.repeat(begins + count, count) - 1 - np.arange(n))[order]
     falling, most, s = np.sort(count)[::-1], int(count.max(initial=1)), int(start.min(initial=1 << 30))
-    sketch, size, label, side, start, group = (x[order] for x in (sketch, size, label, side, start, group))
+    sketch, size, table, label, side, start, group = (x[order] for x in (sketch, size, table, label, side, start, group))
     sliced = np.pad(planes(sketch[:, : SLICED // 64]), ((0, 0), (0, most // 64 + 2)))
-    part, whole = radius(similarity, SLICED), radius(similarity, 64 * PRINTS)
+    part, whole = radius(similarity, SLICED, SLICED_DEVIATIONS), radius(similarity, 64 * PRINTS, DEVIATIONS)
     sent, go = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     while s < most:
@@ -135,6 +142,7 @@ def meetings(
         which, i, j = which[new], i[new], j[new]
         new = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
         new[new] = np.bitwise_count(sketch[i[new]] ^ sketch[j[new]]).sum(axis=1, dtype=np.int64) <= whole
+        new[new] = first_table(sketch[i[new]] ^ sketch[j[new]]) == table[i[new]]
         which, i, j = which[new], i[new], j[new]
         if not len(i):
             continue
@@ -184,7 +192,7 @@ def met(nodes: DataFrame, *, first: int, similarity: float, cell_rows: int, limi
             (bucket, cell, node, label, size, side, start, *sketch), group = _shared(cols, group)
             if not len(node):
                 continue
-            i, j, go = meetings(np.stack(sketch, axis=1).view(np.uint64), size, group, label, side, start, limit, similarity)
+            i, j, go = meetings(np.stack(sketch, axis=1).view(np.uint64), size, group, bucket >> KEY_BITS, label, side, start, limit, similarity)
             at = np.searchsorted(group, np.flatnonzero(go))
             none, some = pa.nulls(len(i), pa.int64()), pa.nulls(len(at), pa.int64())
             names = ["a", "b", "bucket", "cell", "start"]

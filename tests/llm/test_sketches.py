@@ -14,7 +14,7 @@ def edited(rng, words, n):
     return out
 
 
-def brute(texts, ids):
+def brute(texts):
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -35,7 +35,7 @@ def test_groups_equal_brute_force(spark, cell):
     texts = [texts[i] for i in rng.permutation(len(texts))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
     got = {r.doc_id: r.component for r in sketches.near_duplicates(df, cell_rows=cell).collect()}
-    want = dict(enumerate(brute(texts, None)))
+    want = dict(enumerate(brute(texts)))
     assert got == want and 3 < len(set(want.values())) < len(texts)
 
 
@@ -78,6 +78,7 @@ def test_recall(similarity):
     apart = bits[:, 0] != bits[:, 1]
     width = sketches.KEY_BITS * sketches.TABLES
     shared = (~apart[:, :width].reshape(1500, sketches.TABLES, sketches.KEY_BITS).any(axis=2)).any(axis=1)
-    near = (apart.sum(axis=1) <= sketches.radius(similarity if similarity == 0.8 else 0.8, 512)) & (apart[:, : sketches.SLICED].sum(axis=1) <= sketches.radius(0.8, sketches.SLICED))
+    part, whole = sketches.radius(0.8, sketches.SLICED, sketches.SLICED_DEVIATIONS), sketches.radius(0.8, 512, sketches.DEVIATIONS)
+    near = (apart.sum(axis=1) <= whole) & (apart[:, : sketches.SLICED].sum(axis=1) <= part)
     print(similarity, shared.mean(), (shared & near).mean())
     assert (shared & near).mean() >= 0.95
