@@ -32,6 +32,7 @@ from .words import BASE, mixed, shingle_rows, slices, word_hashes, words
 
 PRINTS, TABLES, KEY_BITS, FIRST, SLICED = 8, 36, 13, 4, 128
 CELL_ROWS, BLOCK_WORDS, PARTS, LINKS_PER_ROW, SLICED_DEVIATIONS, DEVIATIONS = 32768, 4096, 1 << 20, 1, 4, 2.5
+SLICE_BYTES = 256 << 10  # of text at once; the arrays of its words and shingles take some hundred times as much
 SKETCH = [f"s{i}" for i in range(PRINTS)]
 
 
@@ -236,7 +237,7 @@ def near_duplicates(
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(1), text_col).alias("h2"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             size, name, sketch = sketches(b.column(3), k)
             numbers = [np.ascontiguousarray(x).view(np.int64) for x in (*name.T, size.astype(np.int64), *sketch.T)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, numbers)], names=["id", "h1", "h2", "g1", "g2", "size", *SKETCH])
