@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -99,8 +99,9 @@ class Model:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """A model from rows with a text and a language.
 
-    At most about `max_docs` documents per language are read, chosen by a hash of their ids; of their words and
-    n-grams the `max_words` and `max_grams` most frequent stay, which bounds the model.
+    At most about `max_docs` documents per language are read, chosen by a hash of their ids. The model holds at most
+    `max_words` words and `max_grams` n-grams, shared equally: of each language's keys the most frequent stay, with
+    their counts in all languages, so a language with few documents keeps its own. Ties go to the lesser key.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     languages = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
@@ -136,11 +137,13 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield from emit(counts)
 
     def most(found: DataFrame, limit: int) -> list[tuple[str, str, int]]:
-        top = found.orderBy(F.desc("n"), "key", "lang").limit(limit).toArrow()
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))  # a language's keys are bounded by max_docs
+        kept = found.withColumn("place", place).filter(F.col("place") <= max(1, limit // len(languages))).select("key").distinct()
+        top = found.join(kept.hint("merge"), "key").orderBy("key", "lang").toArrow()
         return list(zip(*[top.column(c).to_pylist() for c in ("lang", "key", "n")]))
 
     words = materialise(picked.mapInArrow(count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
-    pieces = words.mapInArrow(count_grams, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    pieces = materialise(words.mapInArrow(count_grams, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
     return Model(languages, most(words, max_words), most(pieces, max_grams))
 
 
