@@ -71,10 +71,13 @@ weighed AS (SELECT *, len(regexp_split_to_array(trim(line), ' +')) AS words FROM
 placed AS (
   SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id, th ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM weighed),
 runs AS (
-  SELECT doc_id, th, pos, max(pos) OVER r AS last, sum(words) OVER r AS total, list(line) OVER r AS run
-  FROM placed WINDOW r AS (PARTITION BY doc_id, th ORDER BY before RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+  SELECT 'from' AS side, doc_id, th, pos, max(pos) OVER r AS last, sum(words) OVER r AS total, list(line) OVER r AS run
+  FROM placed WINDOW r AS (PARTITION BY doc_id, th ORDER BY before RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING)
+  UNION ALL
+  SELECT 'upto' AS side, doc_id, th, min(pos) OVER r AS pos, pos AS last, sum(words) OVER r AS total, list(line) OVER r AS run
+  FROM placed WINDOW r AS (PARTITION BY doc_id, th ORDER BY before + words RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)),
 later AS (
-  SELECT doc_id, th, pos, last FROM runs WHERE total >= 30 QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, th, pos) > 1),
+  SELECT doc_id, th, pos, last FROM runs WHERE total >= 30 QUALIFY row_number() OVER (PARTITION BY side, run ORDER BY doc_id, th, pos) > 1),
 gone AS (SELECT DISTINCT doc_id, th, unnest(range(pos, last + 1)) AS pos FROM later),
 cut AS (
   SELECT l.doc_id, l.th, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text

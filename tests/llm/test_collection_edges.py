@@ -156,22 +156,37 @@ def test_line_dedup(docs):
 
 
 def brute_lines(texts, min_words):
-    windows, first = [], {}
+    """Lines of every run of lines with at least so many words that stands at an earlier place too, whatever its length."""
+    runs, first = [], {}
     for i, text in enumerate(texts):
         lines = [(p, x, len(re.split(" +", x.strip(" ")))) for p, x in enumerate(text.split("\n")) if x.strip(" ")]
         for a in range(len(lines)):
-            words = 0
             for b in range(a, len(lines)):
-                words += lines[b][2]
-                if words >= min_words:
+                if sum(n for _, _, n in lines[a : b + 1]) >= min_words:
                     key = tuple(x for _, x, _ in lines[a : b + 1])
                     first.setdefault(key, (i, a))
-                    windows.append((i, a, lines[a][0], lines[b][0], key))
-                    break
-    gone = {(i, p) for i, a, lo, hi, key in windows if first[key] != (i, a) for p in range(lo, hi + 1)}
+                    runs.append((i, a, lines[a][0], lines[b][0], key))
+    gone = {(i, p) for i, a, lo, hi, key in runs if first[key] != (i, a) for p in range(lo, hi + 1)}
     return ["\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize("sizes", [(12, 12, 12, 12, 3), (40, 8, 8), (60, 10, 10), (8, 8, 40), (3, 29, 1, 29, 3), (30,), (1,) * 40])
+def test_a_repeated_run_goes_to_its_last_line(spark, sizes):
+    run = ["\n" * (n % 2) + " ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate(sizes)]
+    texts = ["\n".join(["before", *run, "after"]), "\n".join(["own", *run, "rest"]), "\n".join(run), "\n".join(run[:-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in line_dedup.remove_repeated_lines(df).orderBy("doc_id").collect()]
+    assert got == brute_lines(texts, line_dedup.MIN_WORDS) and got[0] == texts[0] and not {w for x in got[1:3] for w in x.split()} - {"own", "rest"}
+
+
+def test_the_ends_of_a_run_may_stand_at_different_earlier_places(spark):
+    a, b, c, d = (" ".join(f"{x}{j}" for j in range(n)) for x, n in (("a", 12), ("b", 10), ("c", 10), ("d", 9)))
+    texts = ["\n".join(x) for x in ([a, b, c, "one"], ["two", b, c, d], [a, b, c, d], [b, c, d], [d, a, b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in line_dedup.remove_repeated_lines(df, min_words=25).orderBy("doc_id").collect()]
+    assert got == brute_lines(texts, 25) == [texts[0], texts[1], "", "", texts[4]]
+
+
 def test_line_runs_against_brute_force(spark):
     rnd = random.Random(5)
     texts = ["\n".join(rnd.choice(["a b", "c", "d e f g", "", "h i", " j"]) for _ in range(rnd.randint(0, 25))) for _ in range(60)]
@@ -180,6 +195,15 @@ def test_line_runs_against_brute_force(spark):
     assert [got[i] for i in range(60)] == brute_lines(texts, 6)
 
 
+def test_line_runs_of_uneven_lines_against_brute_force(spark):
+    rnd = random.Random(6)
+    pool = [" ".join(f"{i}w{j}" for j in range(n)) for i, n in enumerate([1, 2, 3, 5, 8, 13, 1, 30])]
+    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(df, min_words=12).collect()}
+    assert [got[i] for i in range(80)] == brute_lines(texts, 12)
+
+
 def test_suffixes(docs):
     got = {(r.doc_id, r.n_bytes, tuple((s.begin, s.end) for s in r.spans)) for r in suffix_dedup.repeated_bytes(docs, chunk_bytes=5000).collect()}
     whole, cut = len(LONG), len(PASSAGE)
