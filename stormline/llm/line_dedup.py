@@ -1,11 +1,16 @@
-"""Repeated runs of lines, found by winnowing over line hashes; native DataFrame functions only.
+"""Maximal repeated runs of lines, found by winnowing over line hashes; native DataFrame functions only.
 
-Windows are runs of consecutive lines with just enough words: from each line on, the shortest run with `min_words`
-words. The least line hash in a window (the leftmost of equal ones) is its fingerprint. Windows with the same lines
-choose the same fingerprint, so any run of at least `min_words` words that two places share has a fingerprint in
-common: nothing is missed. Only fingerprints that occur at two places go on. From each of these places the match is
-extended to both sides over all windows that chose it, which are compared by the hash of all their lines; a window
-that stands at an earlier place too (smaller id, then position) is a repeated run, and its lines are deleted.
+A run of lines is repeated if it has at least `min_words` words and its lines also stand, in the same order, at an
+earlier place (smaller id, then position). All lines of all repeated runs are deleted, up to the runs' first and last lines.
+
+Windows are the shortest runs with `min_words` words: one starts at each line, one ends at each line. The least line hash in
+a window (the leftmost of equal ones) is its fingerprint. Windows with the same lines choose the same fingerprint, so any
+repeated run has fingerprints in common with its earlier place: nothing is missed. Only fingerprints that occur at two
+places go on. From each of these positions the match is extended both ways, a line at a time: back over the windows that
+start at each line before it, ahead over the windows that end at each line behind it, as long as they stand at an earlier
+place too. That reaches both ends of every maximal run: a line of it is held by the window from that line on, or, if that
+one leaves the run, by the window that ends at the run's last line. The earlier places of a run's parts need not lie
+in one document, so a match extended along a single earlier place would stop too soon.
 
 Lines and windows are compared by two 64-bit hashes with different seeds. Blank lines are no part of a run, but go
 with the run around them. Hot fingerprints and windows are counted and minimised before the shuffle, written, and
@@ -30,14 +35,23 @@ def windows(rows: DataFrame, min_words: int) -> DataFrame:
         "id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.size(F.split(F.trim("line"), " +")).cast("bigint").alias("words")
     )
     lines = lines.repartition("id", "th").dropDuplicates(["id", "th", "pos"])
-    before = Window.partitionBy("id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("bigint"))
-    run = Window.partitionBy("id", "th").orderBy("before").rangeBetween(0, min_words - 1)
-    chosen = F.min(F.struct("h1", "h2", "pos")).over(run)
-    found = lines.select(
-        "id", "th", "pos", F.max("pos").over(run).alias("last"), F.sum("words").over(run).alias("total"), chosen.alias("chosen"),
-        F.collect_list(F.struct("h1", "h2")).over(run).alias("run"),
-    ).filter(F.col("total") >= min_words)
+    document = Window.partitionBy("id", "th")
+    upto = F.sum("words").over(document.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+    starting = document.orderBy("before").rangeBetween(0, min_words - 1)
+    ending = document.orderBy("upto").rangeBetween(1 - min_words, 0)
+
+    def over(run):
+        return F.struct(
+            F.min("pos").over(run).alias("pos"), F.max("pos").over(run).alias("last"), F.sum("words").over(run).alias("total"),
+            F.min(F.struct("h1", "h2", "pos")).over(run).alias("chosen"), F.collect_list(F.struct("h1", "h2")).over(run).alias("run"),
+        )
+
+    # a window that reaches min_words only with its last line starts at its first one too: it is taken once
+    found = lines.select("id", "th", "words", over(starting).alias("a"), over(ending).alias("b")).select(
+        "id", "th",
+        F.inline(F.filter(F.array("a", "b"), lambda w, i: w.getField("total") - F.when(i == 0, F.lit(0)).otherwise(F.col("words")) >= min_words)),
+    )
     return found.select(
         "id", "th", "pos", "last", F.col("chosen.pos").alias("at"), F.col("chosen.h1").alias("a1"), F.col("chosen.h2").alias("a2"),
         F.xxhash64("run").alias("k1"), F.xxhash64(F.lit(1), "run").alias("k2"),
@@ -58,8 +72,8 @@ def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
 def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of `docs` with the text cut, and (n_lines, n_removed) in front of its own columns of those names.
 
-    A line goes if it lies in a window whose lines also stand, as a window, at an earlier place of the same or another
-    document. Null ids come first; rows with equal id and text count as one document and have the same result; rows
+    A line goes if it lies in a run of at least `min_words` words whose lines also stand at an earlier place of the same or
+    another document (the places may overlap). Null ids come first; rows with equal id and text count as one document and have the same result; rows
     with an equal id and different texts are ordered by the texts' MD5. A null text stays null and has no lines, an
     empty text has one. A document can become empty. Other columns pass unchanged.
     """
