@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BASE, Words, mixed, slices, word_hashes, words
+from .words import BASE, SLICE_BYTES, Words, mixed, slices, word_hashes, words
 
 BITS, MAX_DOCS, EPOCHS, COST, ALPHA, SLOPE = 18, 8192, 12, 1.0, 1.0, 4.0
 
@@ -154,7 +154,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str
     """The rows of `docs`, unchanged, whose score is at least 0.5; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE_BYTES):
             yield b.filter(pa.array(values(b.column(text_col), model) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

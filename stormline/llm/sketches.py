@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .graph import components
 from .simhash import _by_group, _shared, _under, ahead, similar
-from .words import BASE, mixed, shingle_rows, slices, word_hashes, words
+from .words import BASE, SLICE_BYTES, mixed, shingle_rows, slices, word_hashes, words
 
 PRINTS, TABLES, KEY_BITS, FIRST, SLICED = 8, 36, 13, 4, 128
 CELL_ROWS, BLOCK_WORDS, PARTS, LINKS_PER_ROW, SLICED_DEVIATIONS, DEVIATIONS = 32768, 4096, 1 << 20, 1, 4, 2.5
-SLICE_BYTES = 256 << 10  # of text at once; the arrays of its words and shingles take some hundred times as much
 SKETCH = [f"s{i}" for i in range(PRINTS)]
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10  # where memory counts: the arrays of words and shingles take some hundred times as much
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
